@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name -> module of this subpackage that has query(spark, sf_dir) and, where SQL can express it, ORACLE.
 MODULES = {
+    "op3_url_filter": "op3",
     "op4_byte_bpe": "op4",
     "op8_media_columns": "op8",
     "op9_language_id": "op9",
