@@ -14,6 +14,7 @@ MODULES = {
     "op4_byte_bpe": "op4",
     "op8_media_columns": "op8",
     "op9_language_id": "op9",
+    "op10_license_scan": "op10",
 }
 
 
