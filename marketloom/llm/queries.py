@@ -12,6 +12,7 @@ MODULES = {
     "op1_mixing": "op1",
     "op3_url_filter": "op3",
     "op4_byte_bpe": "op4",
+    "op5_minhash": "op5",
     "op8_media_columns": "op8",
     "op9_language_id": "op9",
     "op10_license_scan": "op10",
