@@ -13,6 +13,7 @@ MODULES = {
     "op3_url_filter": "op3",
     "op4_byte_bpe": "op4",
     "op5_minhash": "op5",
+    "op6_substring_dedup": "op6",
     "op8_media_columns": "op8",
     "op9_language_id": "op9",
     "op10_license_scan": "op10",
