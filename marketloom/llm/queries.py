@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name -> module of this subpackage that has query(spark, sf_dir) and, where SQL can express it, ORACLE.
 MODULES = {
     "op1_mixing": "op1",
+    "op2_embedding_dedup": "op2",
     "op3_url_filter": "op3",
     "op4_byte_bpe": "op4",
     "op5_minhash": "op5",
