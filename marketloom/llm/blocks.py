@@ -138,19 +138,25 @@ def send(table: DataFrame, buckets: int, make: Callable) -> DataFrame:
     return table.select("block", "packed", "rest").mapInArrow(run, "bucket int, block bigint, payload binary")
 
 
-def answer(sent: DataFrame, work: Callable[[list[bytes]], list[bytes | None]]) -> DataFrame:
-    """(block, payload): work gets a bucket's payloads and gives a reply (or none) to each."""
+def answer(sent: DataFrame, work: Callable[[list[bytes]], list[bytes | None]], sums: tuple[str, ...] = (), total: Callable[[list[bytes]], tuple[int, ...]] = lambda _: ()) -> DataFrame:
+    """(block, payload, sums...): work gets a bucket's payloads and gives a reply (or none) to each.
+
+    total(payloads) gives a bucket's `sums`, which stand in its first row.
+    """
+    names = ["block", "payload", *sums]
 
     def make():  # noqa: ANN202
         def handle(_: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            blocks = rows["block"].to_pylist()
-            for block, reply in zip(blocks, work(rows["payload"].to_pylist()), strict=True):
+            payloads = rows["payload"].to_pylist()
+            own = total(payloads)
+            for block, reply in zip(rows["block"].to_pylist(), work(payloads), strict=True):
                 if reply is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([reply], pa.binary())], names=["block", "payload"])
+                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([reply], pa.binary()), *(pa.array([v]) for v in own)], names=names)
+                    own = (0,) * len(sums)
 
         return handle
 
-    return map_groups(sent, ["bucket"], make, "block bigint, payload binary", order=["block"])
+    return map_groups(sent, ["bucket"], make, "block bigint, payload binary" + "".join(f", {s} bigint" for s in sums), order=["block"])
 
 
 __all__ = ["Block", "Blocks", "answer", "expand", "squeeze"]

@@ -15,6 +15,7 @@ MODULES = {
     "op4_byte_bpe": "op4",
     "op5_minhash": "op5",
     "op6_substring_dedup": "op6",
+    "op7_lm_score": "op7",
     "op8_media_columns": "op8",
     "op9_language_id": "op9",
     "op10_license_scan": "op10",
