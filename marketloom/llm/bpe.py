@@ -243,17 +243,24 @@ def token_ids(codec: Codec, texts: list[str | None]) -> dict[str, pa.Array]:
 
 def digests(codec: Codec, texts: list[str | None]) -> dict[str, pa.Array]:
     """Token count and digests of the ids and of the bytes decoded from them."""
-    count, of_ids, of_text = [], [], []
+    return ids_and_digests(codec, texts)
+
+
+def ids_and_digests(codec: Codec, texts: list[str | None]) -> dict[str, pa.Array]:
+    """The ids with their digests."""
+    parts, ends = [], [0]
+    made: dict[str, list[pa.Array]] = {}
     for _, run in _steps(texts):
         ids, stops = codec.encode(run)
-        at = 0
-        for stop in stops.tolist():
-            own = ids[at:stop]
-            count.append(stop - at)
-            of_ids.append(hashlib.sha256(own.astype("<u4").tobytes()).hexdigest())
-            of_text.append(hashlib.sha256(codec.decode(own)).hexdigest())
-            at = stop
-    return {"n_tokens": pa.array(count, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_text, pa.string())}
+        parts.append(ids)
+        before, cuts = ends[-1], [0, *stops.tolist()]
+        ends += [before + s for s in cuts[1:]]
+        own = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        made.setdefault("n_tokens", []).append(pa.array([len(x) for x in own], pa.int64()))
+        made.setdefault("ids_sha256", []).append(pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in own], pa.string()))
+        made.setdefault("decoded_sha256", []).append(pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in own], pa.string()))
+    flat = np.concatenate(parts) if parts else np.empty(0, dtype=np.uint32)
+    return {k: pa.concat_arrays(v) for k, v in made.items()} | {"token_ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32)))}
 
 
 def encode(

@@ -168,7 +168,8 @@ def identify(df: DataFrame, model: ByteCnn, keep: list[str], text: str = "text")
     shared = df.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in keep if c not in ("lang_pred", "score")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema] + ["lang_pred string", "score double"])
-    source = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(kept)], F.col(text).alias("t"), F.coalesce(has_letter(text), F.lit(False)).alias("letters"))
+    source = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(kept)], *([] if text in kept else [F.col(text).alias("t")]), F.coalesce(has_letter(text), F.lit(False)).alias("letters"))
+    at_text = kept.index(text) if text in kept else len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cnn = shared.value
@@ -178,8 +179,8 @@ def identify(df: DataFrame, model: ByteCnn, keep: list[str], text: str = "text")
                 continue
             best = np.full(batch.num_rows, len(cnn.languages))
             score = np.zeros(batch.num_rows)
-            letters = np.asarray(batch.column(len(kept) + 1).to_numpy(zero_copy_only=False), dtype=bool)
-            for i, j, data, bounds in slices(batch.column(len(kept)), 1 << 18):
+            letters = np.asarray(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False), dtype=bool)
+            for i, j, data, bounds in slices(batch.column(at_text), 1 << 18):
                 x, document, length = windows_of(data, bounds)
                 total = np.zeros((j - i, len(cnn.languages)))
                 for at in range(0, len(x), PASS):

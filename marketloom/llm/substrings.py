@@ -225,6 +225,31 @@ def texts_of(block: Block, gone: np.ndarray, counts: np.ndarray) -> dict[str, pa
     return {"kept_text": pa.array([t.decode() for t in kept_texts(block, gone)], pa.string())}
 
 
+def spliced_of(block: Block, gone: np.ndarray, counts: np.ndarray) -> dict[str, pa.Array]:
+    """Each text without the words that go and the white space after them, else unchanged."""
+    drop = np.zeros(len(block.data) + 1, dtype=np.int8)
+    changed = np.zeros(len(block.ids), dtype=bool)
+    at = 0
+    for i, j, words in _parts(block):
+        own = gone[at : at + len(words)]
+        at += len(words)
+        document = words.documents()
+        until = np.append(words.starts[1:], 0)
+        last = words.first[1:][words.counts() > 0] - 1
+        until[last] = words.bounds[document[last] + 1]
+        base = block.bounds[i]
+        np.add.at(drop, base + words.starts[own], 1)
+        np.add.at(drop, base + until[own], -1)
+        changed[i:j] = np.bincount(document, own, j - i) > 0
+    keep = np.cumsum(drop[:-1], dtype=np.int32) == 0
+    out = []
+    for k in range(len(block.ids)):
+        a, b = int(block.bounds[k]), int(block.bounds[k + 1])
+        data = block.data[a:b]
+        out.append((data[keep[a:b]] if changed[k] else data).tobytes().decode())
+    return {"kept_text": pa.array(out, pa.string())}
+
+
 def digests_of(block: Block, gone: np.ndarray, counts: np.ndarray) -> dict[str, pa.Array]:
     return {"kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in kept_texts(block, gone)], pa.string())}
 
