@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrow import written
+from .arrow import discard, written
 from .blocks import Block, Blocks, answer, expand, squeeze
 from .words import CHUNK_BYTES, Words, runs
 
@@ -270,6 +270,7 @@ def remove_repeats(
     blocks = Blocks(docs, key, text, kept)
     anchors = written(answer(blocks.send(send_anchors(shape)), shared_anchors), {"compression": "uncompressed"})
     windows = written(answer(blocks.receive_and_send(anchors, send_windows(shape)), smaller_documents), {"compression": "uncompressed"})
+    discard(docs.sparkSession, anchors)
 
     def finish(block: Block, replies: list[bytes]) -> Iterator[pa.RecordBatch]:
         own, gone = covered(block, replies, shape)
