@@ -97,6 +97,8 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: str = "") ->
         if kind in NESTED:
             yield from walk(data, body, start + size, name)
         start += size
+    if not path and start != end:
+        raise ValueError("truncated box")
 
 
 def _table(data: bytes, at: int, fields: int) -> np.ndarray:
