@@ -24,13 +24,22 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/marketloom-{uuid.uuid4().hex}"
 
 
+#: Spark's setting that drops a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: cuts lineage, and
     what was shuffled for it can be freed.  The folder is left to the cluster's
     clean-up of spark.checkpoint.dir, as results that read it are lazy."""
     spark = df.sparkSession
     path = scratch(spark)
-    df.write.options(**(options or {})).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # what is shuffled for the table goes with the write
+    try:
+        df.write.options(**(options or {})).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
     del df
     gc.collect()
