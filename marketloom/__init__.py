@@ -1 +1,21 @@
+"""Order-level market event analytics on Spark."""
 
+from __future__ import annotations
+
+from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package from where the driver has it.
+
+    On a cluster without a shared installation, install the package on the
+    workers or pass it with --py-files; this path then does no harm.
+    """
+    environment = spark.sparkContext.environment
+    root = str(Path(__file__).resolve().parent.parent)
+    paths = environment.get("PYTHONPATH", "").split(":")
+    if root not in paths:
+        environment["PYTHONPATH"] = ":".join([root, *filter(None, paths)])
+    return spark
