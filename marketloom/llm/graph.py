@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from .arrow import discard, written
 
 
+#: Copies of a label's row in the step that follows labels.
+SALTS = 16
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 100) -> DataFrame:
     """node, component (smallest node reachable) of every node with an edge.
 
@@ -27,8 +31,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     for _ in range(most_rounds):
         seen = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
         nearer = labels.join(seen, "node").select("node", F.col("component").alias("old"), F.least("component", "c").alias("component"))
-        jump = nearer.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        moved = written(nearer.join(jump, "component", "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component")))
+        # a large class shares one label: its nodes are dealt over SALTS copies of the label's own row
+        jump = nearer.where("node <> component").select(F.col("node").alias("component"), F.col("component").alias("further"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salted = nearer.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        moved = written(salted.join(jump, ["component", "salt"], "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component")))
         changed = moved.where("old <> component").limit(1).count()
         discard(spark, labels)
         labels = moved.select("node", "component")
