@@ -76,11 +76,13 @@ def leaf_budgets(leaves: DataFrame, target: Target) -> DataFrame:
     """Budgets of leaves (domain, language, source_name, supply); the tree's nodes are few."""
     capacity = F.col("supply") * target.max_epochs
     leaves = leaves.withColumn("capacity", capacity.cast("bigint"))
-    languages = leaves.groupBy("domain", "language").agg(F.sum("capacity").alias("language_capacity"))
-    domains = languages.groupBy("domain").agg(F.sum("language_capacity").alias("domain_capacity"))
-    total = leaves.agg(F.sum("supply").alias("s"), F.sum("capacity").alias("c")).select(F.least(F.expr(f"CAST(s AS DECIMAL(18,0)) * {target.share_percent} div 100"), F.col("c")).alias("total"))
-    domains = fill(domains.crossJoin(F.broadcast(total)).withColumn("root", F.lit(0)), ["root"], "domain", "total", "domain_capacity", _weight("domain", target.domains), "domain_budget")
-    languages = fill(languages.join(domains.select("domain", "domain_budget"), "domain"), ["domain"], "language", "domain_budget", "language_capacity", _weight("language", target.languages), "language_budget")
+    languages = leaves.groupBy("domain", "language").agg(F.sum("capacity").alias("language_capacity"), F.sum("supply").alias("s"))
+    domains = languages.groupBy("domain").agg(F.sum("language_capacity").alias("domain_capacity"), F.sum("s").alias("s")).withColumn("root", F.lit(0))
+    tree = Window.partitionBy("root")
+    domains = domains.withColumns({"all_s": F.sum("s").over(tree).cast("decimal(18,0)"), "all_c": F.sum("domain_capacity").over(tree)})
+    domains = domains.withColumn("total", F.least(F.expr(f"all_s * {target.share_percent} div 100"), F.col("all_c")))
+    domains = fill(domains, ["root"], "domain", "total", "domain_capacity", _weight("domain", target.domains), "domain_budget")
+    languages = fill(languages.drop("s").join(domains.select("domain", "domain_budget"), "domain"), ["domain"], "language", "domain_budget", "language_capacity", _weight("language", target.languages), "language_budget")
     return fill(leaves.join(languages.select("domain", "language", "language_budget"), ["domain", "language"]), ["domain", "language"], "source_name", "language_budget", "capacity", _weight("source_name", target.sources), "budget").select(*TREE, "supply", "budget")
 
 
