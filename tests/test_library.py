@@ -185,3 +185,70 @@ def test_research(spark):
     assert "- x (e1)" in text.split("## Rejected")[0] and "- y (e2)" in text.split("## Rejected")[1]
     assert research.day_seed(1, "2024-01-01") == research.day_seed(1, "2024-01-01") != research.day_seed(2, "2024-01-01")
     assert len(research_queries.NAMES) == len(set(research_queries.NAMES))
+
+
+def test_policy_and_leakage(spark, tmp_path):
+    from marketloom.plans import policy
+
+    (tmp_path / "c.toml").write_text("[temporal]\nembargo_ns = 5\nhorizon = 3\n")
+    own = policy.TemporalPolicy.read(tmp_path / "c.toml", window=9, stride=4)
+    assert (own.purge(), own.embargo(10), policy.TemporalPolicy.read(tmp_path / "none").embargo_ns) == (3, 330, 1_000_000_000)
+    (tmp_path / "d.toml").write_text("[temporal]\nwhat = 5\n")
+    with pytest.raises(ValueError, match="unknown"):
+        policy.TemporalPolicy.read(tmp_path / "d.toml")
+    assert policy.grid_context([3, 9], 1) == (9, True) and policy.aligned_horizon(1, 2, 9) == 4 and policy.aligned_horizon(2, 2, 9) == 2
+    events = mbo.events_as_mbo(spark, SF)
+    cut = int(events.agg(F.percentile("event_ts", 0.5)).first()[0]) // tape.HOUR * tape.HOUR
+    policy.detect_leakage(lambda m: tape.ohlcv_bars(m, tape.HOUR), events, [cut]).check()
+    leaky = policy.detect_leakage(lambda m: tape.ohlcv_bars(m, tape.HOUR).withColumn("top", F.max("h").over(__import__("pyspark").sql.Window.partitionBy("instrument_id"))), events.withColumn("price", F.col("price") + F.col("event_ts") % 1000), [cut])
+    assert leaky.leaking == (cut,)
+
+
+def test_period_and_gates(spark, tmp_path):
+    from marketloom.operators import period
+
+    for day, rows in (("2024-01-01", [(1, 0), (2, 1)]), ("2024-01-02", [(3, 1), (4, 2)])):
+        spark.createDataFrame(rows, "availability_ts bigint, vp_liquidity_session int").write.parquet(str(tmp_path / "ok" / day / "blended.parquet"))
+        spark.createDataFrame([(1, 0)], "availability_ts bigint, vp_liquidity_session int").write.parquet(str(tmp_path / "twice" / day / "blended.parquet"))
+    runs = period.story_runs(period.read_days(spark, str(tmp_path / "ok"))).orderBy("availability_ts").collect()
+    assert [(r.liquidity_run, r.behavior_story_run) for r in runs] == [(0, 0), (1, 0), (2, 1), (3, 2)]
+    with pytest.raises(Exception, match="stands in two days"):
+        period.read_days(spark, str(tmp_path / "twice")).collect()
+    with pytest.raises(ValueError, match="raw events"):
+        period.refuse_raw_events(mbo.events_as_mbo(spark, SF))
+    assert period.peel("a__depth__sign", ["a", "b"]) == ("a", "depth__sign") and period.peel("a", ["a"]) is None
+    held = period.FrozenHoldout(spark.range(3))
+    assert held.evaluate(lambda d: d.count()) == 3
+    with pytest.raises(RuntimeError):
+        held.evaluate(lambda d: d.count())
+
+
+def test_symbolic_programs_agree_with_sql(spark):
+    from marketloom.operators import symbolic
+
+    rng = np.random.default_rng(4)
+    x = {n: rng.normal(size=50) for n in "ab"}
+    df = spark.createDataFrame(pd.DataFrame(x).assign(k=range(50)))
+    trees = [symbolic.grow(rng, ["a", "b"], 3) for _ in range(20)]
+    got = symbolic.materialize(df, {f"p{i}": symbolic.to_sql(t) for i, t in enumerate(trees)}).orderBy("k").toPandas()
+    for i, t in enumerate(trees):
+        assert np.allclose(got[f"p{i}"], symbolic.evaluate(t, x, 50))
+    y = x["a"] * x["b"]
+    best = symbolic.evolve(x, y, ["a", "b"], 0)[0]
+    assert abs(research.ic(symbolic.evaluate(best[0], x, 50), y)) > 0.7
+
+
+def test_regimes(spark):
+    from marketloom.operators import regimes
+    from marketloom.operators.ticks import FEATURES
+
+    x = np.zeros((4, len(FEATURES)))
+    at = {n: i for i, n in enumerate(FEATURES)}
+    assert regimes.structural_mask(x, True, 0).sum() == 16 and regimes.structural_mask(x, False, 1).sum() == 2 and regimes.structural_mask(x, False, 2).sum() == 1
+    x[2, at["near_vah"]] = 1
+    assert regimes.structural_mask(x, False, 0)[:, at["size_at_vah"]].all() and regimes.structural_mask(x, False, 0).sum() == 4
+    df = spark.createDataFrame([(1, i, float(i % 2) * 10 + i * 0.01) for i in range(200)], "instrument_id bigint, availability_ts bigint, v double")
+    rows = regimes.causal_regimes(df, ["v"], k=2, every=20).orderBy("availability_ts").collect()
+    assert {r.regime for r in rows[:19]} == {-1} and all(r.regime == r.availability_ts % 2 for r in rows[20:])
+    s = regimes.silhouette(df.withColumn("y", F.col("availability_ts") % 2), ["v"], "y", "availability_ts").first()
+    assert s.n == 200 and s.silhouette > 0.8
