@@ -4,6 +4,7 @@
     python -m marketloom.cli run NAME --data DIR [--out DIR] [--limit N]
     python -m marketloom.cli check PATH
     python -m marketloom.cli report --data DIR --out FILE
+    python -m marketloom.cli research PATH --lead ID --follow ID --out DIR [--config FILE]
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import ship
 from .operators import research
-from .plans import catalogue
+from .plans import catalogue, unified
 from .sources import mbo
 
 
@@ -46,6 +47,12 @@ def main(argv: list[str] | None = None) -> int:
     rep = sub.add_parser("report")
     rep.add_argument("--data", required=True)
     rep.add_argument("--out", required=True)
+    res = sub.add_parser("research")
+    res.add_argument("path")
+    res.add_argument("--lead", type=int, required=True)
+    res.add_argument("--follow", type=int, required=True)
+    res.add_argument("--out", required=True)
+    res.add_argument("--config")
     args = parser.parse_args(argv)
     if args.command == "list":
         print("\n".join(sorted(catalogue.QUERIES)))
@@ -54,6 +61,9 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "run":
         df = catalogue.QUERIES[args.name](spark, args.data)
         df.write.mode("overwrite").parquet(args.out) if args.out else df.show(args.limit, truncate=False)
+    elif args.command == "research":
+        cfg = unified.RunConfig.read(args.config) if args.config else unified.RunConfig()
+        print("\n".join(unified.run(spark, mbo.read(spark, args.path), args.lead, args.follow, args.out, cfg).values()))
     elif args.command == "report":
         with open(args.out, "w", encoding="utf-8") as out:
             out.write(_report(spark, args.data))

@@ -252,3 +252,19 @@ def test_regimes(spark):
     assert {r.regime for r in rows[:19]} == {-1} and all(r.regime == r.availability_ts % 2 for r in rows[20:])
     s = regimes.silhouette(df.withColumn("y", F.col("availability_ts") % 2), ["v"], "y", "availability_ts").first()
     assert s.n == 200 and s.silhouette > 0.8
+
+
+def test_unified_run_and_command_line(spark, tmp_path, capsys):
+    from marketloom import cli
+    from marketloom.plans import unified
+
+    mbo.events_as_mbo(spark, "/root/testdata/sf0.01").write.parquet(str(tmp_path / "events"))
+    (tmp_path / "run.toml").write_text(f"[research]\ninterval_ns = {tape.HOUR}\nprofile_interval_ns = {4 * tape.HOUR}\nn_permutations = 20\nlead_lag_window = 5\n[temporal]\ninterval_ns = 1\n")
+    assert unified.RunConfig.read(tmp_path / "run.toml").interval_ns == tape.HOUR
+    assert cli.main(["research", str(tmp_path / "events"), "--lead", "1", "--follow", "2", "--out", str(tmp_path / "out"), "--config", str(tmp_path / "run.toml")]) == 0
+    features = spark.read.parquet(str(tmp_path / "out/features.parquet"))
+    assert features.count() == features.select("availability_ts").distinct().count() > 100
+    assert features.where("vp_fsm_break IS NULL").isEmpty() and spark.read.parquet(str(tmp_path / "out/coverage.parquet")).count() == 6
+    assert "# Unified research report" in spark.read.text(str(tmp_path / "out/report.md")).first()[0]
+    assert cli.main(["list"]) == 0 and "footprint_summary" in capsys.readouterr().out
+    assert cli.main(["check", str(tmp_path / "events")]) == 0
