@@ -26,6 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketloom import ship
 from marketloom.llm import bpe, langid, minhash, mixing, substrings
 from marketloom.llm.arrow import written
 from marketloom.llm.op1 import DOMAIN, TARGET
@@ -35,10 +36,25 @@ PASSAGE = 50
 MIX = mixing.Target(domains=TARGET.domains, languages=TARGET.languages, sources=TARGET.sources, share_percent=70, max_epochs=1, seed=23)
 
 
+#: Columns of documents; others keep out of the operators' way under neutral names.
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with other columns renamed, and their names."""
+    names = {c: f"extra_{i}" for i, c in enumerate(docs.columns) if c not in OWN}
+    return docs.withColumnsRenamed(names), names
+
+
+def _back(rows: DataFrame, docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    return rows.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labelled = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    named = langid.identify(docs, langid.train(labelled), docs.columns)
-    return named.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    own, names = _apart(docs)
+    labelled = own.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    named = langid.identify(own, langid.train(labelled), own.columns)
+    return _back(named.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)), docs, names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +63,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rest = [c for c in docs.columns if c != "text"]
-    cut = substrings.remove_repeats(docs, width=PASSAGE, keep=rest, derive=substrings.spliced_of)
+    own, names = _apart(docs)
+    rest = [c for c in own.columns if c != "text"]
+    cut = substrings.remove_repeats(own, width=PASSAGE, keep=rest, derive=substrings.spliced_of)
     changed = cut.withColumn("text", F.col("kept_text"))
     if "n_chars" in rest:
         changed = changed.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return changed.select(*docs.columns)
+    return _back(changed, docs, names)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,12 +90,19 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language_id", language_id),
-    ("near_duplicates", near_duplicates),
-    ("substring_dedup", substring_dedup),
-    ("mixing", mix_sources),
-    ("byte_bpe", byte_bpe),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _shipped(stage: Stage) -> Stage:
+    return lambda spark, docs, sf_dir: stage(ship(spark), docs, sf_dir)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", _shipped(language_id)),
+    ("near_duplicates", _shipped(near_duplicates)),
+    ("substring_dedup", _shipped(substring_dedup)),
+    ("mixing", _shipped(mix_sources)),
+    ("byte_bpe", _shipped(byte_bpe)),
 ]
 
 #: The first stage is a trained network, which SQL cannot express; tests/llm compares the others with brute force.
