@@ -249,7 +249,7 @@ def test_shortages_go_to_siblings_first(spark):
 
 def test_pipeline_stages(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
-    docs = data.frame(spark, 150, seed=6).select("doc_id", "text", "lang", "source", "n_chars")
+    docs = data.frame(spark, 150, seed=6)  # with extra columns that clash with outputs
     for name, stage in pipeline.STAGES:
         out = stage(spark, docs, str(tmp_path))
         if name == "near_duplicates":
@@ -262,6 +262,7 @@ def test_pipeline_stages(spark, tmp_path):
             assert all(WORD.findall(r.text.encode()) == want[r.doc_id][2].split() and (want[r.doc_id][1] or r.text == rows[r.doc_id]) for r in out.collect())
         if name != "byte_bpe":
             assert out.columns == docs.columns and 0 < out.count() <= docs.count()
+            assert {(r.score, r.n_words, r.label) for r in out.collect()} == {(0.5, "clash", None)}
             out.write.parquet(str(tmp_path / name))
             docs = spark.read.parquet(str(tmp_path / name))
         else:
