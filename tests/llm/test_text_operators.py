@@ -178,3 +178,19 @@ def test_words_follow_the_contract():
     for _, _, bytes_, bounds in slices(pa.array(texts), 4):
         counts += Words(bytes_, bounds).counts().tolist()
     assert counts == [len(re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())) for t in texts]
+
+
+def test_heap_merges_as_a_plain_loop():
+    tokens = bpe.read_ranks(RANKS)
+    ranks = {t: i for i, t in enumerate(tokens)}
+    rng = random.Random(8)
+    for _ in range(300):
+        piece = bytes(rng.choice(b"aeinrst \xc3\xa9\x00z") for _ in range(rng.randrange(1, 40)))
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        while True:
+            found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+            if not found:
+                break
+            _, i = min(found)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert bpe.merge(piece, ranks) == [ranks[p] for p in parts]
