@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import auction, book, quality, tape
+from .sql import MBO, TAPE
 from .tape_queries import D28, H1, H4, _mbo, _tape
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -49,3 +50,51 @@ QUERIES |= {
     "cross_market_latency": _mbo(lambda m: tape.cross_market(*_windows(m), H1, 6, latency_ns=60_000_000_000)),
 }
 SQL: dict[str, str] = {}
+
+SQL["icebergs"] = f"""WITH RECURSIVE {MBO}, e AS (SELECT instrument_id, price, action, size, row_number() OVER (PARTITION BY instrument_id, price ORDER BY event_ts, sequence) AS rn FROM mbo WHERE action IN ('A','C','T','F')),
+s AS (SELECT DISTINCT instrument_id, price, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS resting, CAST(0 AS BIGINT) AS peak, CAST(0 AS BIGINT) AS executed, CAST(0 AS BIGINT) AS at_add, CAST(0 AS BIGINT) AS refills FROM e
+  UNION ALL SELECT s.instrument_id, s.price, e.rn, CASE WHEN action='A' THEN resting + size ELSE greatest(0, resting - size) END, CASE WHEN action='A' THEN greatest(peak, resting + size) ELSE peak END,
+    CASE WHEN action IN ('T','F') THEN executed + size ELSE executed END, CASE WHEN action='A' THEN executed ELSE at_add END, CASE WHEN action='A' AND executed > at_add THEN refills + 1 ELSE refills END
+  FROM s JOIN e ON s.instrument_id = e.instrument_id AND s.price = e.price AND e.rn = s.rn + 1),
+z AS (SELECT instrument_id, price, arg_max(peak, rn) AS peak_display, arg_max(executed, rn) AS executed, arg_max(refills, rn) AS replenish_count FROM s GROUP BY 1, 2)
+SELECT *, replenish_count >= 2 AND executed >= 2.0 * peak_display AS is_iceberg FROM z WHERE peak_display > 0"""
+
+SQL["value_area_bucket"] = f"""WITH RECURSIVE {TAPE}, lv AS (SELECT instrument_id, event_ts - event_ts % {D28} AS bucket_start, price, CAST(sum(size) AS BIGINT) AS v, row_number() OVER (PARTITION BY instrument_id, event_ts - event_ts % {D28} ORDER BY price) AS i FROM tape GROUP BY 1, 2, 3),
+g AS (SELECT instrument_id, bucket_start, CAST(sum(v) AS BIGINT) AS total, sum(CAST(price AS DOUBLE) * v) / sum(v) AS centre, (min(price) + max(price)) * 0.5 AS mid, max(v) AS top FROM lv GROUP BY 1, 2),
+p AS (SELECT instrument_id, bucket_start, price AS poc, i, v, total FROM lv JOIN g USING (instrument_id, bucket_start) WHERE v = top QUALIFY row_number() OVER (PARTITION BY instrument_id, bucket_start ORDER BY abs(price - centre), abs(price - mid), price) = 1),
+r AS (SELECT instrument_id, bucket_start, poc, total, i AS lo, i AS hi, v AS acc FROM p
+  UNION ALL SELECT r.instrument_id, r.bucket_start, poc, total, CASE WHEN coalesce(u.v, -1) >= coalesce(d.v, -1) THEN lo ELSE lo - 1 END, CASE WHEN coalesce(u.v, -1) >= coalesce(d.v, -1) THEN hi + 1 ELSE hi END, acc + greatest(coalesce(u.v, -1), coalesce(d.v, -1))
+  FROM r LEFT JOIN lv u ON u.instrument_id = r.instrument_id AND u.bucket_start = r.bucket_start AND u.i = hi + 1 LEFT JOIN lv d ON d.instrument_id = r.instrument_id AND d.bucket_start = r.bucket_start AND d.i = lo - 1
+  WHERE acc < CAST(0.7 AS DOUBLE) * total AND (u.v IS NOT NULL OR d.v IS NOT NULL)),
+f AS (SELECT instrument_id, bucket_start, poc, total, arg_max(lo, acc) AS lo, arg_max(hi, acc) AS hi FROM r GROUP BY 1, 2, 3, 4)
+SELECT f.instrument_id, f.bucket_start, poc, h.price AS vah, l.price AS val, total AS total_volume, coalesce(poc - lag(poc) OVER (PARTITION BY f.instrument_id ORDER BY f.bucket_start), 0) AS poc_migration, CAST(0 AS BIGINT) AS vp_liquidity_session, f.bucket_start + {D28} AS bucket_end, f.bucket_start + {D28} AS availability_ts
+FROM f JOIN lv l ON l.instrument_id = f.instrument_id AND l.bucket_start = f.bucket_start AND l.i = f.lo JOIN lv h ON h.instrument_id = f.instrument_id AND h.bucket_start = f.bucket_start AND h.i = f.hi"""
+
+#: The book in SQL: each order's state after each of its events by recursion, then every order as of every event.
+TOB = f"""{MBO}, n AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY event_ts, sequence) AS n FROM mbo),
+oe AS (SELECT *, row_number() OVER (PARTITION BY instrument_id, order_id ORDER BY n) AS k FROM n WHERE action IN ('A','C','M')),
+os AS (SELECT DISTINCT instrument_id, order_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS k, false AS live, false AS bid, CAST(0 AS BIGINT) AS price, CAST(0 AS BIGINT) AS size, 0 AS unknown, 0 AS twice FROM oe
+  UNION ALL SELECT os.instrument_id, os.order_id, oe.n, oe.k, CASE action WHEN 'A' THEN true WHEN 'C' THEN live AND oe.size > 0 AND os.size > oe.size ELSE live END, CASE WHEN action='A' THEN side='B' ELSE bid END,
+    CASE WHEN action IN ('A','M') THEN oe.price ELSE os.price END, CASE WHEN action IN ('A','M') THEN oe.size WHEN live THEN os.size - oe.size ELSE os.size END,
+    CASE WHEN action IN ('C','M') AND NOT live THEN 1 ELSE 0 END, CASE WHEN action='A' AND live THEN 1 ELSE 0 END
+  FROM os JOIN oe ON os.instrument_id = oe.instrument_id AND os.order_id = oe.order_id AND oe.k = os.k + 1),
+eo AS (SELECT n.instrument_id, n.n, i.order_id FROM n JOIN (SELECT DISTINCT instrument_id, order_id FROM oe) i USING (instrument_id)),
+lv AS (SELECT eo.instrument_id, eo.n, os.bid, os.price, sum(os.size) AS size FROM eo ASOF JOIN os ON eo.instrument_id = os.instrument_id AND eo.order_id = os.order_id AND eo.n >= os.n WHERE os.live GROUP BY ALL),
+best AS (SELECT instrument_id, n, max(price) FILTER (bid) AS best_bid, CAST(arg_max(size, price) FILTER (bid) AS BIGINT) AS bid_size, min(price) FILTER (NOT bid) AS best_ask, CAST(arg_min(size, price) FILTER (NOT bid) AS BIGINT) AS ask_size FROM lv GROUP BY 1, 2),
+refs AS (SELECT instrument_id, n, sum(unknown) AS u, sum(twice) AS t FROM os WHERE k > 0 GROUP BY 1, 2),
+tob AS (SELECT n.instrument_id, n.event_ts, n.sequence, best_bid, bid_size, best_ask, ask_size, CAST(sum(coalesce(u, 0)) OVER w AS BIGINT) AS unknown_refs, CAST(sum(coalesce(t, 0)) OVER w AS BIGINT) AS duplicate_adds
+  FROM n LEFT JOIN best USING (instrument_id, n) LEFT JOIN refs USING (instrument_id, n) WINDOW w AS (PARTITION BY n.instrument_id ORDER BY n.n))"""
+SQL["top_of_book"] = f"WITH RECURSIVE {TOB} SELECT * FROM tob"
+SQL["crossed_count"] = f"WITH RECURSIVE {TOB} SELECT instrument_id, count(*) AS n_events, count(*) FILTER (best_bid >= best_ask) AS crossed, max(unknown_refs) AS unknown_refs, max(duplicate_adds) AS duplicate_adds FROM tob GROUP BY 1"
+
+_LAG = "PARTITION BY instrument_id ORDER BY event_ts, sequence"
+OFI = f"""{TOB}, q AS (SELECT *, lag(best_bid) OVER w AS b1, lag(bid_size) OVER w AS bs1, lag(best_ask) OVER w AS a1, lag(ask_size) OVER w AS as1 FROM tob WINDOW w AS ({_LAG})),
+ofi AS (SELECT *, coalesce(CASE WHEN best_bid >= b1 THEN bid_size ELSE 0 END - CASE WHEN best_bid <= b1 THEN bs1 ELSE 0 END + CASE WHEN best_ask >= a1 THEN as1 ELSE 0 END - CASE WHEN best_ask <= a1 THEN ask_size ELSE 0 END, 0) AS ofi FROM q)"""
+SQL["ofi_events"] = f"WITH RECURSIVE {OFI} SELECT instrument_id, sequence, ofi, CAST(sum(ofi) OVER ({_LAG}) AS BIGINT) AS ofi_cumulative FROM ofi"
+SQL["ofi_buckets"] = f"""WITH RECURSIVE {OFI}, b AS (SELECT instrument_id, event_ts - event_ts % {H1} AS bucket_start, CAST(sum(ofi) AS BIGINT) AS ofi FROM ofi GROUP BY 1, 2)
+SELECT *, bucket_start + {H1} AS bucket_end, bucket_start + {H1} AS availability_ts, CAST(sum(ofi) OVER (PARTITION BY instrument_id ORDER BY bucket_start) AS BIGINT) AS ofi_cumulative FROM b"""
+
+SQL["market_windows"] = f"""WITH RECURSIVE {TOB}, w AS (SELECT instrument_id, event_ts - event_ts % {H1} AS bucket_start, arg_max((best_bid + best_ask) / 2.0::DOUBLE, (event_ts, sequence)) AS close, arg_max(best_bid, (event_ts, sequence)) AS bid, arg_max(best_ask, (event_ts, sequence)) AS ask
+  FROM tob WHERE best_bid IS NOT NULL AND best_ask IS NOT NULL GROUP BY 1, 2), d AS (SELECT instrument_id, event_ts - event_ts % {H1} AS bucket_start, CAST(sum(CASE side WHEN 'B' THEN size WHEN 'A' THEN -size ELSE 0 END) AS BIGINT) AS delta FROM mbo WHERE action = 'T' GROUP BY 1, 2)
+SELECT coalesce(w.instrument_id, d.instrument_id) AS instrument_id, coalesce(w.bucket_start, d.bucket_start) AS bucket_start, close, bid, ask, delta FROM w FULL JOIN d ON w.instrument_id = d.instrument_id AND w.bucket_start = d.bucket_start"""
+QUERIES["market_windows"] = _mbo(lambda m: tape.market_windows(m, book.top_of_book(m), H1))

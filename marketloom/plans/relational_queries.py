@@ -455,3 +455,21 @@ def sequences(df: DataFrame, columns: list[str], window: int, stride: int, group
 def _(s: SparkSession, d: str) -> DataFrame:
     q = sequences(_bars(s, d), ["volume", "delta"], 4, 2, ["instrument_id"], ["bucket_start"])
     return q.withColumn("window", F.array_join(F.transform(F.flatten("window"), lambda v: v.cast("bigint").cast("string")), ","))
+
+
+def _book_sql() -> None:
+    """SQL of book_descriptors, from the book's SQL."""
+    from .book_queries import TOB
+
+    b = f"event_ts - event_ts % {H1}"
+    SQL["book_descriptors"] = rounded(
+        f"""WITH RECURSIVE {TOB}, d AS (SELECT instrument_id, {b} AS bucket_start, count(*) FILTER (action='A') AS add_count, count(*) FILTER (action='C') AS cancel_count, count(*) FILTER (action='F') AS fill_count, count(*) FILTER (action='T') AS trade_count, CAST(coalesce(sum(size) FILTER (action='T'), 0) AS BIGINT) AS trade_volume FROM mbo GROUP BY 1, 2),
+k AS (SELECT instrument_id, {b} AS bucket_start, arg_max((best_bid + best_ask) / 2.0::DOUBLE, (event_ts, sequence)) AS mid_, arg_max({{'m': (best_bid + best_ask) / 2.0::DOUBLE, 's': best_ask - best_bid}}, (event_ts, sequence)) AS x,
+  abs(arg_max(coalesce(bid_size, 0) + coalesce(ask_size, 0), (event_ts, sequence)) - arg_min(coalesce(bid_size, 0) + coalesce(ask_size, 0), (event_ts, sequence))) AS depth_change FROM tob GROUP BY 1, 2)
+SELECT d.*, cancel_count / CAST(add_count + 1 AS DOUBLE) AS cancel_ratio, x.m AS mid, coalesce(x.s, 0) AS spread, depth_change FROM d JOIN k USING (instrument_id, bucket_start)""",
+        "cancel_ratio",
+        "mid",
+    )
+
+
+_book_sql()
