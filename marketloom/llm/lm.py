@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import written
@@ -123,12 +123,11 @@ SCORED = "held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint
 
 
 def score_documents(
-    docs: DataFrame, ranks: list[bytes], key: str = "doc_id", text: str = "text", folds: int = 10, held_out: Column | None = None, sample: int = 4000, pieces: int = 4, stretch: int = 600, seed: int = 13
+    docs: DataFrame, ranks: list[bytes], key: str = "doc_id", text: str = "text", folds: int = 10, sample: int = 4000, pieces: int = 4, stretch: int = 600, seed: int = 13
 ) -> DataFrame:
     """key, held_out and the scores of each document; documents of fold 0 are held out."""
     spark = docs.sparkSession
-    out_of_training = F.crc32(F.col(key).cast("string").cast("binary")) % folds == 0 if held_out is None else held_out
-    training = docs.where(~out_of_training)
+    training = docs.where(F.crc32(F.col(key).cast("string").cast("binary")) % folds != 0)
     model = fit(training, ranks, key, text, sample, pieces, stretch, seed)
     shared = spark.sparkContext.broadcast((model, ranks))
     mark = zlib.crc32(b" ".join(ranks))
