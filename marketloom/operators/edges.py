@@ -33,19 +33,14 @@ def search_edges(states: DataFrame, deceptive: DataFrame, events: DataFrame, gri
     name.  The last part of the time is used once, for the winner.  A market
     truth is built once for each hold.
     """
-    truths = {h: auction.market_truth(states, deceptive, auction.TruthRules(hold=h)).cache() for h in {s.hold for s in grid}}
+    truth = None
+    for h in sorted({s.hold for s in grid}):
+        part = auction.market_truth(states, deceptive, auction.TruthRules(hold=h)).withColumn("hold_name", F.lit(f"h{h}_"))
+        truth = part if truth is None else truth.unionByName(part)
     span = states.agg(F.min("bucket_start").alias("a"), F.max("bucket_end").alias("b")).first()
     cut = span.a + int((span.b - span.a) * train_share) if span.a is not None else 0
     width = max(1, (cut - (span.a or 0)) // folds)
-    parts = []
-    for spec in grid:
-        rules = auction.TradeRules(reward_to_risk=spec.reward_to_risk, stop_buffer=spec.stop_buffer, cost=cost)
-        trades = auction.edge_trades(truths[spec.hold], events, rules)
-        parts.append(trades.select(F.lit(spec.name()).alias("name"), KEY, "entry_ts", "exit_ts", "pnl", "risk"))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    every = every.cache()
+    every = auction.trades_of(truth, events, [(s.name(), s.reward_to_risk, s.stop_buffer) for s in grid], auction.TradeRules().max_hold_ns, cost)
     fold = F.least(F.lit(folds - 1), F.call_function("div", F.col("entry_ts") - F.lit(span.a or 0), F.lit(width)))
     inner = every.where(F.col("exit_ts") <= cut).withColumn("fold", fold).groupBy("name", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("pnl").alias("pnl"))
     table = inner.groupBy("name").agg(F.sum("n").alias("n_trades"), (F.sum("pnl") / F.sum("n")).alias("expectancy"), F.avg((F.col("pnl") > 0).cast("double")).alias("positive_folds"))

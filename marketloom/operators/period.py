@@ -112,7 +112,7 @@ def peel(name: str, columns: list[str]) -> tuple[str, str] | None:
     return None
 
 
-def layers(df: DataFrame, selected: str, forward: str, n: int = 100, seed: int = 0) -> DataFrame:
+def layers(df: DataFrame, selected: str, forward: str, n: int = 100, seed: int = 0, order: str = TS) -> DataFrame:
     """For each gate around a signal: IC with and without it, a block-permutation p-value of the inner one, pass rate, and Benjamini-Hochberg.
 
     The frame is a research clock (bars out of sample).
@@ -121,7 +121,7 @@ def layers(df: DataFrame, selected: str, forward: str, n: int = 100, seed: int =
     names = [selected]
     while (inner := peel(names[-1], df.columns)) is not None:
         names.append(inner[0])
-    rows: pd.DataFrame = df.select(TS, forward, *names).orderBy(TS).toPandas()
+    rows: pd.DataFrame = df.select(order, forward, *names).orderBy(order).toPandas()
     y = rows[forward].to_numpy(float)
     out = []
     for outer, inner in zip(names[:-1], names[1:], strict=True):

@@ -35,9 +35,9 @@ def _signals(m: DataFrame) -> DataFrame:
 
 
 def _rates(m: DataFrame) -> DataFrame:
-    events = behavior.behavior_events(_signals(m), STORY).where("instrument_id = 1")
+    events = behavior.behavior_events(_signals(m), STORY).withColumn("clock", F.col("availability_ts") + F.col("instrument_id"))
     targets = ["evt_true_break", "evt_failed_breakout", "evt_retest_success", "evt_retest_fail"]
-    return behavior.base_rates(folds.purged_walk_forward(events.select("availability_ts", *targets), "availability_ts", 3, purge=1, least_train=8, order=["availability_ts"]), targets)
+    return behavior.base_rates(folds.purged_walk_forward(events.select("clock", *targets).cache(), "clock", 3, purge=1, least_train=8, order=["clock"]), targets)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

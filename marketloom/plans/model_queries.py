@@ -50,9 +50,10 @@ def ridge(s: SparkSession, d: str) -> DataFrame:
 
 
 def _series(s: SparkSession, d: str) -> np.ndarray:
-    """A bounded series: the first 4,096 event values in time order (the arrays that resampling ships have a fixed bound)."""
-    rows = s.read.parquet(f"{d}/events.parquet").orderBy("ts", "event_id").select("value").limit(4096).collect()
-    return np.array([r[0] for r in rows])
+    """Hourly means over all events: a clock whose length follows the period, not the rows."""
+    hour = F.date_trunc("hour", F.col("ts"))
+    rows = s.read.parquet(f"{d}/events.parquet").groupBy(hour.alias("h")).agg(F.avg("value").alias("v")).orderBy("h").collect()
+    return np.array([r.v for r in rows])
 
 
 def dcor(s: SparkSession, d: str) -> DataFrame:

@@ -183,24 +183,25 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 # ---- folds
 
-_ONE = _BARS + ", t AS (SELECT availability_ts, row_number() OVER (ORDER BY availability_ts) - 1 AS i, count(*) OVER () AS n FROM bars WHERE instrument_id = 1)"
+_DAY2 = 2 * DAY
 
 
-@_add("walk_forward_folds", _ONE + f""", f AS (SELECT CAST(k AS INT) AS fold, n // 5 AS size, n FROM range(1, 5) r(k), (SELECT DISTINCT n FROM t)),
-h AS (SELECT fold, fold * size AS a, CASE WHEN fold = 4 THEN f.n ELSE (fold + 1) * size END AS b, t.availability_ts AS ts FROM f JOIN t ON t.i = fold * size)
-SELECT t.availability_ts, fold, CASE WHEN i >= a AND i < b THEN 'test' ELSE 'train' END AS role FROM t, h WHERE (i >= a AND i < b) OR (i < a - 3 AND t.availability_ts < ts AND t.availability_ts <= ts - {2 * H1})""")
+@_add("walk_forward_folds", f"""WITH t AS (SELECT o_orderkey, epoch_us(o_orderdate) * 1000 AS ts, row_number() OVER (ORDER BY epoch_us(o_orderdate), o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders),
+f AS (SELECT CAST(k AS INT) AS fold, n // 5 AS size, n FROM range(1, 5) r(k), (SELECT DISTINCT n FROM t)), h AS (SELECT fold, fold * size AS a, CASE WHEN fold = 4 THEN f.n ELSE (fold + 1) * size END AS b, t.ts AS first FROM f JOIN t ON t.i = fold * size)
+SELECT o_orderkey, ts, fold, CASE WHEN i >= a AND i < b THEN 'test' ELSE 'train' END AS role FROM t, h WHERE (i >= a AND i < b) OR (i < a - 3 AND ts < first AND ts <= first - {_DAY2})""")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return folds.purged_walk_forward(_bars(s, d).where("instrument_id = 1").select("availability_ts"), "availability_ts", 4, embargo=2 * H1, purge=3, order=["availability_ts"])
+    o = s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.expr("unix_micros(CAST(o_orderdate AS TIMESTAMP)) * 1000").alias("ts"))
+    return folds.purged_walk_forward(o, "ts", 4, embargo=_DAY2, purge=3, order=["o_orderkey"])
 
 
-_LI = "li AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, epoch_us(l_shipdate) * 1000 AS ts, strftime(l_shipdate, '%Y-%m') AS month FROM lineitem WHERE year(l_shipdate) = 1995)"
+_LI = "li AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, epoch_us(l_shipdate) * 1000 AS ts, strftime(l_shipdate, '%Y-%m') AS month FROM lineitem)"
 
 
 @_add("month_folds", f"""WITH {_LI}, m AS (SELECT month, min(ts) AS first, row_number() OVER (ORDER BY month) AS k FROM li GROUP BY month),
 r AS (SELECT CAST(k - 8 AS INT) AS fold, m.month AS test_month, CASE WHEN li.month = m.month THEN 'test' ELSE 'train' END AS role, l_suppkey FROM li, m WHERE k > 8 AND (li.month = m.month OR (li.month < m.month AND ts <= first - {DAY})))
 SELECT fold, test_month, role, count(*) AS n, CAST(sum(l_suppkey) AS BIGINT) AS keys FROM r GROUP BY ALL""")
 def _(s: SparkSession, d: str) -> DataFrame:
-    li = s.read.parquet(f"{d}/lineitem.parquet").where(F.year("l_shipdate") == 1995).select("l_suppkey", F.expr("unix_micros(CAST(l_shipdate AS TIMESTAMP)) * 1000").alias("ts"))
+    li = s.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey", F.expr("unix_micros(CAST(l_shipdate AS TIMESTAMP)) * 1000").alias("ts"))
     return folds.month_folds(li, "ts", 8, DAY).groupBy("fold", "test_month", "role").agg(F.count(F.lit(1)).alias("n"), F.sum("l_suppkey").alias("keys"))
 
 
@@ -241,11 +242,11 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return stats.anova_f(s.read.parquet(f"{d}/customer.parquet"), "c_acctbal", "c_mktsegment")
 
 
-_P = "p AS (SELECT c_custkey, ((c_custkey * 7919) % 1000 + 1) / 1000.0::DOUBLE AS p FROM customer WHERE c_custkey % 3 = 0)"
+_P = "p AS (SELECT c_custkey, ((c_custkey * 7919) % 1000 + 1) / 1000.0::DOUBLE AS p FROM customer)"
 
 
 def _pvalues(s: SparkSession, d: str) -> DataFrame:
-    return s.read.parquet(f"{d}/customer.parquet").where("c_custkey % 3 = 0").select("c_custkey", ((F.col("c_custkey") * 7919 % 1000 + 1) / F.lit(1000.0)).alias("p"))
+    return s.read.parquet(f"{d}/customer.parquet").select("c_custkey", ((F.col("c_custkey") * 7919 % 1000 + 1) / F.lit(1000.0)).alias("p"))
 
 
 for _name, _sql in {

@@ -25,29 +25,34 @@ def _clock(m: DataFrame) -> DataFrame:
     bars = tape.ohlcv_bars(m, H1)
     pulses = research.materialize(m, SPECS)
     rows = labels.forward_returns(bars, "c", 2, ["instrument_id"], ["bucket_start"])
-    return research.on_clock(rows.select("instrument_id", "availability_ts", "c", "volume", "delta", F.col("forward_return").alias("ret")), pulses, NAMES)
+    return _pooled(research.on_clock(rows.select("instrument_id", "availability_ts", "c", "volume", "delta", F.col("forward_return").alias("ret")), pulses, NAMES))
+
+
+def _pooled(df: DataFrame) -> DataFrame:
+    """Both contracts on one clock; the instrument's number, as nanoseconds, tells equal times apart."""
+    return df.withColumn("clock", F.col("availability_ts") + F.col("instrument_id"))
 
 
 def _coverage(s: SparkSession, d: str) -> DataFrame:
-    m = source.events_as_mbo(s, d).where("instrument_id = 1")
-    bars = tape.ohlcv_bars(m, H1).select("bucket_start", "c", "volume", "delta", "range")
-    both = bars.join(book_descriptors(m, H1).drop("instrument_id"), "bucket_start").orderBy("bucket_start").toPandas()
+    m = source.events_as_mbo(s, d)
+    bars = tape.ohlcv_bars(m, H1).select("instrument_id", "bucket_start", "c", "volume", "delta", "range")
+    both = bars.join(book_descriptors(m, H1), ["instrument_id", "bucket_start"]).orderBy("instrument_id", "bucket_start").toPandas()
     return tidy(research.coverage(s, both[["volume", "delta", "range"]], both[["add_count", "cancel_count", "trade_count", "trade_volume", "cancel_ratio", "spread", "depth_change"]], both["c"].to_numpy(), 50))
 
 
 def _ssl(m: DataFrame) -> DataFrame:
-    bars = tape.ohlcv_bars(m, H1).where("instrument_id = 1")
-    return research.ssl_folds(sequences(bars, ["volume", "delta", "range"], 4, 1, ["instrument_id"], ["availability_ts"]), "window", "availability_ts")
+    windows = sequences(tape.ohlcv_bars(m, H1), ["volume", "delta", "range"], 4, 1, ["instrument_id"], ["availability_ts"])
+    return research.ssl_folds(_pooled(windows), "window", "clock")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tick_stream": _mbo(lambda m: ticks.tick_stream(m, 1, 2, H1)),
     "tick_events": _mbo(lambda m: ticks.tick_stream(m, 1, 2, None)),
     "hypothesis_pulses": _mbo(lambda m: research.materialize(m, SPECS)),
-    "signal_screen": _mbo(lambda m: research.screen(_clock(m).where("instrument_id = 1"), [*NAMES, "delta"], "ret", n=50)),
+    "signal_screen": _mbo(lambda m: research.screen(_clock(m), [*NAMES, "delta"], "ret", "clock", n=50)),
     "causal_gate": _mbo(lambda m: research.causal_gate(_clock(m), ["delta"], "volume").select("instrument_id", "availability_ts", "delta__gated")),
-    "fold_selection": _mbo(lambda m: research.walk_forward_select(_clock(m).where("instrument_id = 1"), [*NAMES, "delta", "volume"], "ret", n=20)[0]),
-    "selection_null": _mbo(lambda m: research.walk_forward_select(_clock(m).where("instrument_id = 1"), [*NAMES, "delta", "volume"], "ret", n=20)[1]),
+    "fold_selection": _mbo(lambda m: research.walk_forward_select(_clock(m), [*NAMES, "delta", "volume"], "ret", "clock", n=20)[0]),
+    "selection_null": _mbo(lambda m: research.walk_forward_select(_clock(m), [*NAMES, "delta", "volume"], "ret", "clock", n=20)[1]),
     "coverage_metrics": _coverage,
     "ssl_folds": _mbo(_ssl),
 }
@@ -82,14 +87,13 @@ def _gated(m: DataFrame) -> DataFrame:
 
 
 QUERIES["depth_gates"] = _mbo(lambda m: _gated(m).select("instrument_id", "availability_ts", "delta__depth__pressure_q0p7", "delta__depth__queue_q0p7", "delta__depth__iceberg", "delta__depth__sign"))
-QUERIES["gate_layers"] = _mbo(lambda m: period.layers(_gated(m).where("instrument_id = 1"), "delta__depth__sign", "ret", 50))
-QUERIES["symbolic_search"] = _mbo(lambda m: symbolic.search(_gated(m).where("instrument_id = 1"), ["delta", "volume", "range", "path_pressure"], "ret"))
+QUERIES["gate_layers"] = _mbo(lambda m: period.layers(_pooled(_gated(m)), "delta__depth__sign", "ret", 50, order="clock"))
+QUERIES["symbolic_search"] = _mbo(lambda m: symbolic.search(_pooled(_gated(m)), ["delta", "volume", "range", "path_pressure"], "ret", "clock"))
 
 
 def _edges(m: DataFrame) -> DataFrame:
     states = auction.action_states(m, H4, H1)
-    grid = [g for g in edges.edge_grid() if g.hold == 2 and g.reward_to_risk in (1.0, 2.0) and g.stop_buffer != 0.5]
-    return edges.search_edges(states, quality.deceptive_buckets(quality.deceptive_scores(m), H1), m, grid)[0]
+    return edges.search_edges(states, quality.deceptive_buckets(quality.deceptive_scores(m), H1), m, edges.edge_grid())[0]
 
 
 def _masked(m: DataFrame) -> DataFrame:
