@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -56,6 +58,28 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Gives memory that is free back to the system: idle workers would hold it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with free memory given back now and then and at the task's end."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for i, out in enumerate(run(batches)):
+                yield out
+                if i % 8 == 7:
+                    release()
+        finally:
+            release()
+
+    return wrapped
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """df.mapInArrow with a function that make() builds once in each task."""
 
@@ -65,7 +89,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
             if batch.num_rows and (out := work(batch)) is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def map_groups(
@@ -108,7 +132,7 @@ def map_groups(
         if held:
             yield from work(key, pa.Table.from_batches(held))
 
-    return sorted_rows.mapInArrow(run, schema)
+    return sorted_rows.mapInArrow(trimmed(run), schema)
 
 
 def text_of(df: DataFrame, text: str, *keep: str | Column) -> DataFrame:

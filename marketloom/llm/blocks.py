@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_groups, written
+from .arrow import map_groups, trimmed, written
 from .words import slices
 
 BLOCK_BYTES = 4 << 20
@@ -82,7 +82,7 @@ class Blocks:
                     yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([packed], pa.binary()), pa.array([_serialised(rest)], pa.binary()), pa.array([len(data)])], names=["block", "packed", "rest", "n_bytes"])
                     n += 1
 
-        self.table = written(source.mapInArrow(run, "block bigint, packed binary, rest binary, n_bytes bigint"), {"compression": "uncompressed"})
+        self.table = written(source.mapInArrow(trimmed(run), "block bigint, packed binary, rest binary, n_bytes bigint"), {"compression": "uncompressed"})
         total = self.table.agg(F.sum("n_bytes")).first()[0] or 0
         self.buckets = max(8, total // BUCKET_BYTES)
 
@@ -135,7 +135,7 @@ def send(table: DataFrame, buckets: int, make: Callable) -> DataFrame:
                 block = Block(batch.column(1)[k].as_py(), batch.column(2)[k].as_py())
                 yield from _dealt(batch.column(0)[k].as_py(), buckets, *work(block))
 
-    return table.select("block", "packed", "rest").mapInArrow(run, "bucket int, block bigint, payload binary")
+    return table.select("block", "packed", "rest").mapInArrow(trimmed(run), "bucket int, block bigint, payload binary")
 
 
 def answer(sent: DataFrame, work: Callable[[list[bytes]], list[bytes | None]], sums: tuple[str, ...] = (), total: Callable[[list[bytes]], tuple[int, ...]] = lambda _: ()) -> DataFrame:

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .arrow import trimmed
 from .words import mix
 
 _U = np.uint64
@@ -293,7 +294,7 @@ def encode(
                 made = derive(codec, part.column(part.schema.get_field_index(text)).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in kept] + [made[c] for c in names], names=[*kept, *names])
 
-    return source.mapInArrow(run, out)
+    return source.mapInArrow(trimmed(run), out)
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids", to: str = "decoded") -> DataFrame:
@@ -310,4 +311,4 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids", to: str = "de
             made = pa.array([None if r is None else b"".join(map(table.__getitem__, r)) for r in rows], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + [made], names=[*kept, to])
 
-    return df.mapInArrow(run, out)
+    return df.mapInArrow(trimmed(run), out)

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import trimmed
 from .words import slices
 
 WINDOW = 256
@@ -196,4 +197,4 @@ def identify(df: DataFrame, model: ByteCnn, keep: list[str], text: str = "text")
                 names=[*kept, "lang_pred", "score"],
             )
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(trimmed(run), schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import written
+from .arrow import trimmed, written
 from .attention import Attention, Subwords, score, windows
 from .blocks import Block, Blocks, answer, expand, squeeze
 from .substrings import _parts
@@ -104,7 +104,7 @@ def fit(docs: DataFrame, ranks: list[bytes], key: str, text: str, sample: int, p
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     # one task with the bounded sample: a worker has one numerics thread, and a lost one is run again
-    return pickle.loads(chosen.repartition(1).mapInArrow(run, "model binary").first()[0])
+    return pickle.loads(chosen.repartition(1).mapInArrow(trimmed(run), "model binary").first()[0])
 
 
 _PIECES: dict[int, Subwords] = {}

@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .arrow import trimmed
+
 #: Boxes that hold boxes (fixed values of the format).
 NESTED = frozenset((b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"))
 UNITY = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
@@ -218,7 +220,7 @@ def store(df: DataFrame, text: str = "text", into: str = "media") -> DataFrame:
                 made = pa.array([pack(pad((t or "").encode())) for t in texts], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in kept] + [made], names=[*kept, into])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 #: Columns that `digest` adds.
@@ -248,4 +250,4 @@ def describe(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                 columns = list(zip(*digest(part.column(1)), strict=True))
                 yield pa.RecordBatch.from_arrays([part.column(0)] + [pa.array(c, types[k]) for c, (_, k) in zip(columns, names, strict=True)], names=[key] + [n for n, _ in names])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, {DIGEST}")
+    return df.select(key, text).mapInArrow(trimmed(run), f"`{key}` {kind}, {DIGEST}")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_groups, written
+from .arrow import map_groups, trimmed, written
 from .graph import components
 from .words import Words, _stream, mix, runs, slices
 
@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
                 yield pa.RecordBatch.from_arrays([part.column(0), *made.values()], names=["doc", *made])
 
     texts = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    table = written(texts.mapInArrow(sketch, out))
+    table = written(texts.mapInArrow(trimmed(sketch), out))
     reps = written(table.where("n > 0").groupBy("print1", "print2").agg(F.min("doc").alias("doc")))
     lone = written(table.join(reps, ["print1", "print2", "doc"]).dropDuplicates(["doc"]).select("doc", "n", "sketch", "keys"))
     keyed = lone.select("doc", F.explode("keys").alias("key"))
@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
                 sets = pa.array([s.tobytes() for s in shingle_sets(part.column(1), width)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), sets], names=["doc", "shingles"])
 
-    sets = texts.join(sized.select("doc"), "doc", "left_semi").select("doc", "text").mapInArrow(fetch, "doc bigint, shingles binary")
+    sets = texts.join(sized.select("doc"), "doc", "left_semi").select("doc", "text").mapInArrow(trimmed(fetch), "doc bigint, shingles binary")
     placed = _paired(sized.join(blocks, "component"), "component", "blocks", "doc").join(sets, "doc")
     links = map_groups(placed.select("component", "i", "j", "doc", "n", "shingles"), ["component", "i", "j"], _links(percent), "a bigint, b bigint", order=["doc"])
     classes = components(links)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import trimmed
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -186,4 +188,4 @@ def judge(df: DataFrame, rules: list[tuple[str, str]], key: str = "page_id", url
                 names=[key, "host", "path", "rule", "verdict", "block_score"],
             )
 
-    return parsed.mapInArrow(run, f"`{key}` {kind}, {JUDGED}")
+    return parsed.mapInArrow(trimmed(run), f"`{key}` {kind}, {JUDGED}")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_groups, written
+from .arrow import map_groups, trimmed, written
 from .graph import components
 from .words import mix
 
@@ -156,7 +156,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
             for at in range(0, batch.num_rows, 2000):
                 yield from _coded(batch.slice(at, 2000))
 
-    coded = written(rows.where("label IS NOT NULL AND v IS NOT NULL").mapInArrow(run, "vec bigint, label string, d bigint, print1 bigint, print2 bigint, unit binary, code binary, factor double"))
+    coded = written(rows.where("label IS NOT NULL AND v IS NOT NULL").mapInArrow(trimmed(run), "vec bigint, label string, d bigint, print1 bigint, print2 bigint, unit binary, code binary, factor double"))
     same = ["label", "d", "print1", "print2"]
     reps = written(coded.groupBy(*same).agg(F.min("vec").alias("vec"), F.count(F.lit(1)).alias("copies")))
     single = coded.join(reps, [*same, "vec"]).dropDuplicates([*same, "vec"])

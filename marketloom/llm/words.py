@@ -18,8 +18,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that one numpy pass works on; bounds temporaries to about 100 MB.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text that one numpy pass works on; bounds temporaries to about 50 MB.
+CHUNK_BYTES = 1 << 19
 
 _U = np.uint64
 
