@@ -10,9 +10,11 @@ its distinct words with their counts in training documents, and the bucket
 answers each block with the corpus counts of its own words.  What is exchanged
 grows with the corpus; no table of all words exists anywhere.
 
-The attention model is fitted in one task on a bounded sample of training
-texts: about `sample` documents chosen by a hash of their key, up to
-`pieces` stretches of `stretch` characters of each.
+The attention model is trained on every window of all training texts.  One task
+fits a start on about `sample` hash-chosen documents; from there, shards of a
+few megabytes of text, dealt by a hash, are passed over in parallel, and their
+parameters are averaged by windows after each round.  Shards grow with the
+corpus, and neither they nor the result depend on how rows are partitioned.
 
 A null or empty text is the end token alone.  Without any training document
 the counts are zero and the model is its seeded start.  Words are identified by
@@ -21,6 +23,7 @@ the counts are zero and the model is its seeded start.  Words are identified by
 
 from __future__ import annotations
 
+import math
 import pickle
 import zlib
 from collections.abc import Callable, Iterator
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import trimmed, written
+from .arrow import map_groups, trimmed, written
 from .attention import Attention, Subwords, score, windows
 from .blocks import Block, Blocks, answer, expand, squeeze
 from .substrings import _parts
@@ -86,9 +89,9 @@ def corpus_totals(payloads: list[bytes]) -> tuple[int, int]:
 
 
 def fit(docs: DataFrame, ranks: list[bytes], key: str, text: str, sample: int, pieces: int, stretch: int, seed: int) -> Attention:
-    """The model, trained on stretches of a hash-chosen sample of `docs`."""
+    """The model: started on stretches of a hash-chosen sample of `docs`, then trained on all of their text."""
     rows = docs.where(F.length(text) > 0)
-    count = rows.count()
+    count, chars = rows.agg(F.count(F.lit(1)), F.sum(F.length(text))).first()
     near = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, sample / max(count, 1)) * (1 << 30))
     size = F.length(text)
     cut = [F.when((F.lit(i) == 0) | (size > i * stretch), F.substring(F.col(text), (F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(i)), F.greatest(size - stretch, F.lit(1))) + 1).cast("int"), F.lit(stretch))) for i in range(pieces)]
@@ -104,7 +107,44 @@ def fit(docs: DataFrame, ranks: list[bytes], key: str, text: str, sample: int, p
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     # one task with the bounded sample: a worker has one numerics thread, and a lost one is run again
-    return pickle.loads(chosen.repartition(1).mapInArrow(trimmed(run), "model binary").first()[0])
+    started = chosen.repartition(1).mapInArrow(trimmed(run), "model binary").first()
+    model = pickle.loads(started[0]) if started else Attention()  # adaptive plans drop an empty sample's task
+    shards = -(-(chars or 0) // SHARD_CHARS)
+    rounds = min(shards, ROUNDS)
+    digest = F.xxhash64(F.col(key), F.col(text), F.lit(seed))
+    dealt = rows.select(F.pmod(digest, F.lit(max(shards, 1))).alias("shard"), digest.alias("h"), F.col(key).cast("string").alias("k"), F.col(text).alias("x"))
+    for i in range(rounds):
+        own = dealt.where(F.col("shard") % rounds == i)
+        model = _averaged(own, model, ranks, len(range(i, shards, rounds)), 0.003 * (1 - 0.9 * i / rounds))
+    return model
+
+
+#: Characters of training text in a shard on average, and the most rounds of averaging.
+SHARD_CHARS, ROUNDS = 4 << 20, 8
+
+
+def _averaged(dealt: DataFrame, model: Attention, ranks: list[bytes], shards: int, rate: float) -> Attention:
+    """The mean, weighted by windows, of models that each pass once over one shard; added in two levels."""
+    shared = dealt.sparkSession.sparkContext.broadcast((model, ranks))
+    mark, groups = zlib.crc32(b" ".join(ranks)), math.isqrt(shards - 1) + 1
+
+    def learn(key: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        start, subwords = shared.value[0], pieces_of(shared.value[1], mark)
+        own = start.with_flat(start.flat())
+        parts = [windows(*subwords.encode(Words(data, bounds)))[:2] for _, _, data, bounds in slices(rows["x"])]
+        inputs, targets = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        own.pass_over(inputs, targets, rate=rate, seed=key[0])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0] % groups]), pa.array([key[0]]), pa.array([len(inputs)]), pa.array([(len(inputs) * own.flat().astype("<f8")).tobytes()])], names=["group", "shard", "n", "total"])
+
+    def add(key: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        total = sum(np.frombuffer(x.as_buffer(), "<f8") for chunk in rows["total"].chunks for x in chunk)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([sum(rows["n"].to_pylist())]), pa.array([total.tobytes()])], names=["group", "n", "total"])
+
+    learnt = map_groups(dealt, ["shard"], lambda: learn, "group bigint, shard bigint, n bigint, total binary", order=["h", "k", "x"], partitions=shards)
+    sums = map_groups(learnt, ["group"], lambda: add, "group bigint, n bigint, total binary", order=["shard"], partitions=groups).collect()
+    shared.destroy()
+    sums.sort()
+    return model.with_flat(sum(np.frombuffer(r.total, "<f8") for r in sums) / sum(r.n for r in sums)) if sums else model
 
 
 _PIECES: dict[int, Subwords] = {}

@@ -182,6 +182,18 @@ def test_scores_against_counts(spark):
     assert lm.score_documents(data.empty(spark), tokens).count() == 0
 
 
+def test_model_learns_from_all_training_texts(spark, monkeypatch):
+    tokens = bpe.read_ranks(pytest.importorskip("public_tokenizers").path("byte_bpe_multi_50k.tiktoken"))
+    monkeypatch.setattr(lm, "SHARD_CHARS", 200_000)
+    docs = spark.createDataFrame([(i, "a quiet river runs below the old stone mill " * 300) for i in range(60)], "doc_id long, text string")
+    score = lambda df: {r.doc_id: r.score for r in lm.score_documents(df, tokens, sample=0).collect()}
+    got = score(docs)  # no start: only what lies outside the sample can teach
+    raw = np.frombuffer(docs.first().text.encode(), dtype=np.uint8)
+    blank = attention.score(attention.Attention(), attention.Subwords(tokens), Words(raw, np.array([0, len(raw)])))[0]
+    assert len(got) == 60 and min(got.values()) > blank / 2
+    assert score(docs.repartition(7)) == pytest.approx(got, rel=1e-6)
+
+
 def test_attention_is_causal_and_normalised():
     tokens = bpe.read_ranks(pytest.importorskip("public_tokenizers").path("byte_bpe_multi_50k.tiktoken"))
     model = attention.Attention(seed=2)
