@@ -2,8 +2,9 @@
 
 A text's words (A-Z lower-cased, runs of digits, a-z and non-ASCII) are joined
 by single spaces, and rules are regular expressions over that line.  Rules are
-gated twice: a text without any of the `GATES` is not normalised at all, and a
-rule runs only where its own keywords occur.  Detections are word intervals
+gated twice by keywords, single words one of which stands in every match of a
+rule: a text without any of them is not normalised at all, and a rule runs only
+where its own occur.  Detections are word intervals
 with a priority; one that lies inside an earlier-starting or longer interval
 of at least its own priority is suppressed.  Everything happens in the row, so
 no text is shuffled and no key can be hot.
@@ -24,15 +25,12 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Substrings one of which stands in every text that any rule can match.
-GATES = ("licen", "copyright", "copyleft", "public domain", "public-domain", "spdx", "warrant", "redistribut", "rights")
-
 #: Base phrases and labels (fixed values of the contract).
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: (label, keyword, regular expression of the licence's name over normalised words).
+#: (label, keywords, regular expression of the licence's name over normalised words).
 NAMES = (
-    ("mit", "mit", r"(?:the )?(?:mit|expat|x11) licen[cs]e"),
+    ("mit", "mit expat x11", r"(?:the )?(?:mit|expat|x11) licen[cs]e"),
     ("mit-0", "attribution", r"mit no attribution(?: licen[cs]e)?"),
     ("apache-2.0", "apache", r"(?:the )?apache(?: software)? licen[cs]e(?: version)? 2(?: 0)?"),
     ("apache-1.1", "apache", r"(?:the )?apache(?: software)? licen[cs]e(?: version)? 1 1"),
@@ -96,7 +94,7 @@ FORMS = (
     ("name", 20, 80, r"(?:{name})", ""),
 )
 
-#: Rules without a name: (label, priority, confidence, keyword, expression).
+#: Rules without a name: (label, priority, confidence, keywords, expression).
 TEXTS = (
     ("mit", 50, 100, "hereby", r"permission is hereby granted free of charge to any person obtaining a copy"),
     ("mit", 50, 95, "substantial", r"shall be included in all copies or substantial portions of the software"),
@@ -131,7 +129,7 @@ class Rule:
     kind: str
     priority: int
     percent: int
-    keyword: str
+    keywords: str
     pattern: str
 
 
@@ -194,21 +192,24 @@ def scan(df: DataFrame, keep: list[str], text: str = "text", base: tuple[tuple[s
     """keep, n_words, base matches and the detections that survive suppression."""
     table = rules()
     levels = sorted({r.priority for r in table})
-    literal = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(r.label).alias("label"), F.lit(r.kind).alias("kind"), F.lit(r.priority).alias("priority"), F.lit(r.percent).alias("percent"), F.lit(f" {r.keyword} ").alias("gate"), F.lit(r.pattern).alias("pattern")) for i, r in enumerate(table)])
+    literal = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(r.label).alias("label"), F.lit(r.kind).alias("kind"), F.lit(r.priority).alias("priority"), F.lit(r.percent).alias("percent"), F.array(*[F.lit(k) for k in r.keywords.split()]).alias("gates"), F.lit(r.pattern).alias("pattern")) for i, r in enumerate(table)])
+    words = sorted({k for r in table for k in r.keywords.split()})
+    # a base phrase is gated by a word of its own, one that is a keyword already if there is one
+    gates = sorted({*words, *(min(p.split(), key=lambda w: (w not in words, -len(w))) for p, _ in base)})
     raw = F.coalesce(F.col(text), F.lit(""))
-    gated = F.lit(False)
     folded = F.lower(raw)
 
     def any_gate(t: Column) -> Column:
-        out = gated
-        for gate in GATES:
+        out = F.lit(False)
+        for gate in gates:
             out = out | t.contains(gate)
         return out
 
     phrase = " (?:" + "|".join(p for p, _ in base) + ")(?= )"
 
     def found(line: Column) -> Column:
-        hits = F.filter(literal, lambda r: F.contains(line, r["gate"]))
+        present = F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(line, F.concat(F.lit(" "), w, F.lit(" "))))
+        hits = _let(present, lambda own: F.filter(literal, lambda r: F.arrays_overlap(r["gates"], own)))
         each = F.transform(hits, lambda r: F.transform(_spans(line, r), lambda s: F.struct(s["first"].alias("first"), (-s["last"]).alias("down"), (-r["priority"]).alias("up"), r["rank"].alias("rank"), r["label"].alias("label"), r["kind"].alias("kind"), r["priority"].alias("priority"), r["percent"].alias("percent"), s["last"].alias("last"))))
         places = F.size(F.regexp_extract_all(line, F.lit(phrase), F.lit(0)))
         labels = F.array_compact(F.array(*[F.when(F.contains(line, F.lit(f" {p} ")), F.lit(name)) for p, name in base]))

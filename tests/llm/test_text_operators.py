@@ -170,6 +170,42 @@ def test_licence_suppression(spark):
     assert len(licenses.rules()) > 200 and licenses.scan(docs.limit(0), ["doc_id"]).count() == 0
 
 
+def _example(tree, turn):
+    """A text that an expression matches; `turn` chooses among alternatives."""
+    out = ""
+    for op, value in tree:
+        match str(op):
+            case "LITERAL":
+                out += chr(value)
+            case "IN":
+                kind, first = value[turn % len(value)]
+                out += "w" if str(kind) == "CATEGORY" else chr(first if str(kind) == "LITERAL" else first[0])
+            case "MAX_REPEAT":
+                out += _example(value[2], turn) * value[0]
+            case "SUBPATTERN":
+                out += _example(value[3], turn)
+            case "BRANCH":
+                out += _example(value[1][turn % len(value[1])], turn)
+            case other:
+                raise ValueError(other)
+    return out
+
+
+def test_every_licence_rule_fires_on_its_own_phrase(spark):
+    rules = licenses.rules()
+    texts = sorted({(i, _example(re._parser.parse(r.pattern), turn).title().replace(" ", ",\n")) for i, r in enumerate(rules) for turn in range(9)})
+    rows = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id int, text string").repartition(8)
+    got = {r.doc_id: (r.n_words, r.scan) for r in licenses.scan(rows, ["doc_id"]).collect()}
+    for k, (i, t) in enumerate(texts):
+        n, found = got[k]
+        assert found and any(d.first == 0 and d.last == n - 1 and d.priority >= rules[i].priority for d in found.detections), (rules[i], t)
+
+
+def test_base_phrases_need_no_rule_keyword(spark):
+    docs = spark.createDataFrame([(1, "Under the Foo Bar terms")], "doc_id int, text string")
+    assert licenses.scan(docs, ["doc_id"], base=(("foo bar", "foo"),)).first().scan.base_labels == ["foo"]
+
+
 def test_words_follow_the_contract():
     import pyarrow as pa
 
