@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,29 +99,57 @@ def masked_windows(windows: DataFrame, names: tuple[str, ...] = FEATURES) -> Dat
     return windows.mapInPandas(run, schema)
 
 
-def silhouette(df: DataFrame, columns: list[str], label: str, key: str, most: int = 20_000) -> DataFrame:
-    """Mean silhouette over all rows; the matrix is held by every task, so more than `most` rows raise."""
-    rows = df.select(key, label, *columns).orderBy(key).limit(most + 1).toPandas()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rows; use a sample of clusters or a centroid criterion")
-    x, y = np.nan_to_num(rows[columns].to_numpy(float)), rows[label].to_numpy()
-    kinds, code = np.unique(y, return_inverse=True)
-    hot = np.eye(len(kinds))[code]
-    counts = hot.sum(axis=0)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def silhouette(df: DataFrame, columns: list[str], label: str, key: str, block_rows: int = 512) -> DataFrame:
+    """Mean silhouette over all rows, exact: every block of rows meets every other, and its sums of
+    distances by label are added up.  A task holds two blocks; work grows with the square of the rows."""
+    rows = df.select(label, key, *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    kinds = rows.groupBy(label).count().collect()
+    code = {r[0]: i for i, r in enumerate(kinds)}
+    counts = np.array([r[1] for r in kinds], dtype=float)
+    size = max(1, min(block_rows, (1 << 22) // max(len(kinds), 1)))
+    tasks = max(1, -(-int(counts.sum()) // size))
+    # blocks are cut from rows in an order of their own, so that a repeated task cuts the same ones
+    dealt = rows.withColumn("h", F.xxhash64(*rows.columns)).repartition(-(-tasks // 8), "h").sortWithinPartitions("h", *rows.columns).drop("h", key)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            y = np.array([code[v] for v in batch.column(0).to_pylist()], dtype="<i8")
+            x = np.nan_to_num(np.column_stack([c.to_numpy(zero_copy_only=False).astype("<f8") for c in batch.columns[1:]]))
+            for i in range(0, len(y), size):
+                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([x[i : i + size].tobytes()], pa.binary()), pa.array([y[i : i + size].tobytes()], pa.binary())], names=["block", "x", "y"])
+                n += 1
+
+    blocks = dealt.mapInArrow(pack, "block bigint, x binary, y binary")
+    pairs = blocks.crossJoin(F.broadcast(blocks.select(F.col("block").alias("own"))))
+    ordered = pairs.repartition(tasks, "own").sortWithinPartitions("own", F.col("block") != F.col("own"), "block")
+
+    def scores(sums: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        at, n = np.arange(len(y)), counts[y]
+        a = sums[at, y] / np.maximum(n - 1, 1)
+        others = sums / counts
+        others[at, y] = np.inf
+        b = others.min(axis=1)
+        s = np.where(n > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-12), 0.0) if len(counts) > 1 else np.zeros(len(y))
+        return pa.RecordBatch.from_arrays([pa.array(s)], names=["s"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
         for batch in batches:
-            own = batch["id"].to_numpy()
-            gap = np.sqrt(np.maximum(((x[own] ** 2).sum(axis=1)[:, None] - 2 * x[own] @ x.T + (x**2).sum(axis=1)), 0))
-            gap[np.arange(len(own)), own] = 0
-            sums = gap @ hot
-            mine = code[own]
-            n = counts[mine]
-            a = sums[np.arange(len(own)), mine] / np.maximum(n - 1, 1)
-            others = sums / counts
-            others[np.arange(len(own)), mine] = np.inf
-            b = others.min(axis=1)
-            s = np.where(n > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-12), 0.0)
-            yield pd.DataFrame({"s": s if len(kinds) > 1 else np.zeros(len(own))})
-
-    return df.sparkSession.range(len(rows)).mapInPandas(run, "s double").agg(F.avg("s").alias("silhouette"), F.count(F.lit(1)).alias("n"))
+            for i in range(batch.num_rows):
+                block, x, y, now = (c[i].as_py() for c in batch.columns)
+                x, y = np.frombuffer(x, "<f8").reshape(-1, len(columns)), np.frombuffer(y, "<i8")
+                if now != own:  # a block meets itself first
+                    if own is not None:
+                        yield scores(sums, mine)
+                    own, left, mine, sums = now, x, y, np.zeros((len(y), len(counts)))
+                gap = np.sqrt(np.maximum((left**2).sum(axis=1)[:, None] - 2 * left @ x.T + (x**2).sum(axis=1), 0))
+                if block == own:
+                    np.fill_diagonal(gap, 0)
+                order = np.argsort(y, kind="stable")
+                found, first = np.unique(y[order], return_index=True)
+                sums[:, found] += np.add.reduceat(gap[:, order], first, axis=1)
+        if own is not None:
+            yield scores(sums, mine)
+
+    return ordered.mapInArrow(run, "s double").agg(F.avg("s").alias("silhouette"), F.count(F.lit(1)).alias("n"))

@@ -254,6 +254,21 @@ def test_regimes(spark):
     assert s.n == 200 and s.silhouette > 0.8
 
 
+def test_silhouette_of_many_rows(spark):
+    from marketloom.operators import regimes
+
+    few = [(i, i % 3, float(i % 3) * 4 + (i * 37 % 101) * 0.05, float(i * 53 % 97)) for i in range(300)]
+    x, y = np.array([r[2:] for r in few]), np.array([r[1] for r in few])
+    gap = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    mean = np.array([[gap[i, y == k].sum() / ((y == k).sum() - (y[i] == k)) for k in range(3)] for i in range(300)])
+    a, b = mean[np.arange(300), y], np.where(np.arange(3) == y[:, None], np.inf, mean).min(axis=1)
+    got = regimes.silhouette(spark.createDataFrame(few, "id long, y int, a double, b double"), ["a", "b"], "y", "id", block_rows=64).first()
+    assert got.n == 300 and got.silhouette == pytest.approx(((b - a) / np.maximum(a, b)).mean(), abs=1e-9)
+    many = spark.range(20_500).select("id", (F.col("id") % 2).alias("y"), ((F.col("id") % 2) * 100 + F.col("id") % 7).cast("double").alias("v"))
+    s = regimes.silhouette(many, ["v"], "y", "id").first()
+    assert s.n == 20_500 and s.silhouette > 0.9
+
+
 def test_unified_run_and_command_line(spark, tmp_path, capsys):
     from marketloom import cli
     from marketloom.plans import unified
