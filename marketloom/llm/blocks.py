@@ -2,13 +2,15 @@
 
 A block is a few megabytes of whole documents in one row, compressed, with a
 stable id; blocks are written once to the shared folder.  Operators that must
-relate words or passages across the corpus exchange packed arrays: each block
-sends, for every hash bucket, one binary of distinct values; a bucket's task
-sees the bucket's values of all blocks (at most one entry of a value from each
-block, however hot it is) and answers each block with the entries it needs.
-
-The number of buckets follows the corpus size, so a bucket stays small; a text
-longer than a block is a block by itself.
+relate words or passages across the corpus exchange rows (hash, block, value):
+each block sends one row for every distinct hash it has, rows of one hash are
+combined before they meet (a map-side sum or minimum), and the combined value
+is joined back to the rows, so that each block gets one row for each hash that
+concerns it.  Rows follow the distinct values of the blocks, whatever the number
+of blocks, and no task ever holds all rows of a hash: the combined side has one
+row a hash, and the other side of the join spills and may be split.
+
+A text longer than a block is a block by itself.
 """
 
 from __future__ import annotations
@@ -19,15 +21,15 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_groups, trimmed, written
 from .words import slices
 
 BLOCK_BYTES = 4 << 20
-#: Bytes of text for each hash bucket.
-BUCKET_BYTES = 16 << 20
+#: Rows of an Arrow batch that a block sends.
+SENT_ROWS = 1 << 16
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
@@ -83,80 +85,54 @@ class Blocks:
                     n += 1
 
         self.table = written(source.mapInArrow(trimmed(run), "block bigint, packed binary, rest binary, n_bytes bigint"), {"compression": "uncompressed"})
-        total = self.table.agg(F.sum("n_bytes")).first()[0] or 0
-        self.buckets = max(8, total // BUCKET_BYTES)
-
-    def send(self, work: Callable[[Block], tuple[np.ndarray, tuple[np.ndarray, ...]]]) -> DataFrame:
-        """(bucket, block, payload): work(block) gives hashes and arrays aligned with them."""
-        return send(self.table, self.buckets, lambda _: work)
-
-    def receive(self, replies: DataFrame, work: Callable[[Block, list[bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-        """work(block, its replies) for every block, with or without replies."""
-        return map_groups(self.merged(replies), ["block"], lambda: _receiver(work), schema, order=["kind"])
-
-    def merged(self, replies: DataFrame) -> DataFrame:
-        own = self.table.select("block", F.lit(1).alias("kind"), "packed", "rest")
-        return own.unionByName(replies.select("block", F.lit(0).alias("kind"), F.col("payload").alias("packed"), F.lit(None).cast("binary").alias("rest")))
-
-    def receive_and_send(self, replies: DataFrame, work: Callable[[Block, list[bytes]], tuple[np.ndarray, tuple[np.ndarray, ...]]]) -> DataFrame:
-        """Like receive, with results sent on to buckets."""
-        buckets = self.buckets
-
-        def pass_on(block: Block, got: list[bytes], at: int) -> Iterator[pa.RecordBatch]:
-            yield from _dealt(at, buckets, *work(block, got))
 
-        return map_groups(self.merged(replies), ["block"], lambda: _receiver(pass_on, with_id=True), "bucket int, block bigint, payload binary", order=["kind"])
+    def send(self, work: Callable[[Block], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+        """(hash, block, value): work(block) gives distinct hashes and a value of each."""
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    yield from _sent(batch.column(0)[k].as_py(), *work(Block(batch.column(1)[k].as_py(), batch.column(2)[k].as_py())))
 
-def _receiver(work: Callable, with_id: bool = False):  # noqa: ANN202
-    def handle(key: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        packed = rows["packed"].to_pylist()
-        block = Block(packed[-1], rows["rest"][len(packed) - 1].as_py())
-        yield from work(block, packed[:-1], key[0]) if with_id else work(block, packed[:-1])
+        return self.table.select("block", "packed", "rest").mapInArrow(trimmed(run), SENT)
 
-    return handle
+    def receive(self, replies: DataFrame, work: Callable[[Block, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        """work(block, hashes, values of its replies) for every block, with or without replies."""
+        return map_groups(self._merged(replies), ["block"], lambda: _receiver(lambda _, *own: work(*own)), schema, order=["kind"])
 
+    def receive_and_send(self, replies: DataFrame, work: Callable[[Block, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+        """Like receive, with results sent on."""
+        return map_groups(self._merged(replies), ["block"], lambda: _receiver(lambda at, *own: _sent(at, *work(*own))), SENT, order=["kind"])
 
-def _dealt(block: int, buckets: int, hashes: np.ndarray, arrays: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    at = np.flatnonzero(np.diff(cuts))
-    if len(at):
-        payload = [squeeze(*(a[order[cuts[b] : cuts[b + 1]]] for a in arrays)) for b in at]
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.full(len(at), block)), pa.array(payload, pa.binary())], names=["bucket", "block", "payload"])
+    def _merged(self, replies: DataFrame) -> DataFrame:
+        none = F.lit(None)
+        own = self.table.select("block", F.lit(1).alias("kind"), "packed", "rest", none.cast("bigint").alias("hash"), none.cast("bigint").alias("value"))
+        return own.unionByName(replies.select("block", F.lit(0).alias("kind"), none.cast("binary").alias("packed"), none.cast("binary").alias("rest"), "hash", "value"))
 
 
-def send(table: DataFrame, buckets: int, make: Callable) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make(None)
-        for batch in batches:
-            for k in range(batch.num_rows):
-                block = Block(batch.column(1)[k].as_py(), batch.column(2)[k].as_py())
-                yield from _dealt(batch.column(0)[k].as_py(), buckets, *work(block))
+SENT = "hash bigint, block bigint, value bigint"
 
-    return table.select("block", "packed", "rest").mapInArrow(trimmed(run), "bucket int, block bigint, payload binary")
 
+def _sent(block: int, hashes: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(hashes), SENT_ROWS):
+        own = np.ascontiguousarray(hashes[at : at + SENT_ROWS]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), block)), pa.array(values[at : at + SENT_ROWS].astype(np.int64))], names=["hash", "block", "value"])
 
-def answer(sent: DataFrame, work: Callable[[list[bytes]], list[bytes | None]], sums: tuple[str, ...] = (), total: Callable[[list[bytes]], tuple[int, ...]] = lambda _: ()) -> DataFrame:
-    """(block, payload, sums...): work gets a bucket's payloads and gives a reply (or none) to each.
 
-    total(payloads) gives a bucket's `sums`, which stand in its first row.
-    """
-    names = ["block", "payload", *sums]
+def _receiver(work: Callable[[int, Block, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]):  # noqa: ANN202
+    def handle(key: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        last = len(rows) - 1
+        block = Block(rows["packed"][last].as_py(), rows["rest"][last].as_py())
+        hashes, values = (rows[c].slice(0, last).to_numpy() for c in ("hash", "value"))
+        yield from work(key[0], block, hashes.astype(np.int64, copy=False).view(np.uint64), values.astype(np.int64, copy=False))
 
-    def make():  # noqa: ANN202
-        def handle(_: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            payloads = rows["payload"].to_pylist()
-            own = total(payloads)
-            for block, reply in zip(rows["block"].to_pylist(), work(payloads), strict=True):
-                if reply is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([reply], pa.binary()), *(pa.array([v]) for v in own)], names=names)
-                    own = (0,) * len(sums)
+    return handle
 
-        return handle
 
-    return map_groups(sent, ["bucket"], make, "block bigint, payload binary" + "".join(f", {s} bigint" for s in sums), order=["block"])
+def replies(sent: DataFrame, total: Column, needed: Column) -> DataFrame:
+    """(block, hash, value): each sent row with its hash's `total` over all blocks, where `needed` (of sent, own value, and total) holds."""
+    totals = sent.groupBy("hash").agg(total.alias("total"))
+    return sent.join(totals, "hash").where(needed).select("block", "hash", F.col("total").alias("value"))
 
 
-__all__ = ["Block", "Blocks", "answer", "expand", "squeeze"]
+__all__ = ["Block", "Blocks", "expand", "replies", "squeeze"]

@@ -5,10 +5,10 @@ self-attention model of attention.py, and `base_score`, that of a smoothed word
 unigram over all training documents.  Words are lower-cased (A-Z) and followed
 by one end token.
 
-Word counts cover the whole corpus: every block of text sends each hash bucket
-its distinct words with their counts in training documents, and the bucket
-answers each block with the corpus counts of its own words.  What is exchanged
-grows with the corpus; no table of all words exists anywhere.
+Word counts cover the whole corpus: every block of text sends its distinct
+words with their counts in training documents, the counts of a word are summed
+before they meet, and each block gets the corpus counts of its own words.  What
+is exchanged grows with the corpus; no machine holds a table of all words.
 
 The attention model is trained on every window of all training texts.  One task
 fits a start on about `sample` hash-chosen documents; from there, shards of a
@@ -18,7 +18,7 @@ corpus, and neither they nor the result depend on how rows are partitioned.
 
 A null or empty text is the end token alone.  Without any training document
 the counts are zero and the model is its seeded start.  Words are identified by
-64-bit hashes inside hash buckets.  Repeated rows get equal results.
+64-bit hashes.  Repeated rows get equal results.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .arrow import map_groups, trimmed, written
 from .attention import Attention, Subwords, score, windows
-from .blocks import Block, Blocks, answer, expand, squeeze
+from .blocks import Block, Blocks, replies
 from .substrings import _parts
 from .words import Words, slices
 
@@ -56,38 +56,17 @@ def _distinct(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return values, where, np.concatenate(documents)
 
 
-def send_words(held: Callable[[int], bool]) -> Callable[[Block], tuple[np.ndarray, tuple[np.ndarray, ...]]]:
+def send_words(held: Callable[[int], bool]) -> Callable[[Block], tuple[np.ndarray, np.ndarray]]:
     """Distinct words of a block with their counts in training documents."""
 
-    def work(block: Block) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    def work(block: Block) -> tuple[np.ndarray, np.ndarray]:
         values, where, document = _distinct(block)
         training = np.array([not held(int(i)) for i in block.ids])
-        counts = np.bincount(where, training[document], len(values)) if len(values) else np.empty(0)
-        return values, (values.astype("<u8"), counts.astype("<i8"))
+        return values, np.bincount(where, training[document], len(values)) if len(values) else np.empty(0)
 
     return work
 
 
-def _totals(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    parts = [expand(p, "<u8", "<i8") for p in payloads]
-    values, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    counts = np.zeros(len(values), dtype=np.int64)
-    np.add.at(counts, where, np.concatenate([p[1] for p in parts]))
-    return values, counts, [p[0] for p in parts]
-
-
-def corpus_counts(payloads: list[bytes]) -> list[bytes | None]:
-    """For each block the corpus counts of the words it sent."""
-    values, counts, own = _totals(payloads)
-    return [squeeze(p, counts[np.searchsorted(values, p)]) for p in own]
-
-
-def corpus_totals(payloads: list[bytes]) -> tuple[int, int]:
-    """Distinct words with a training count, and training words, of a bucket."""
-    _, counts, _ = _totals(payloads)
-    return int((counts > 0).sum()), int(counts.sum())
-
-
 def fit(docs: DataFrame, ranks: list[bytes], key: str, text: str, sample: int, pieces: int, stretch: int, seed: int) -> Attention:
     """The model: started on stretches of a hash-chosen sample of `docs`, then trained on all of their text."""
     rows = docs.where(F.length(text) > 0)
@@ -173,19 +152,17 @@ def score_documents(
     mark = zlib.crc32(b" ".join(ranks))
     held = lambda i: fold_of(i, folds) == 0
     blocks = Blocks(docs, key, text, [key])
-    replies = written(answer(blocks.send(send_words(held)), corpus_counts, ("kinds", "words"), corpus_totals), {"compression": "uncompressed"})
-    kinds, words = replies.agg(F.sum("kinds"), F.sum("words")).first()
+    sent = written(blocks.send(send_words(held)), {"compression": "uncompressed"})
+    kinds, words = sent.groupBy("hash").agg(F.sum("value").alias("n")).where("n > 0").agg(F.count(F.lit(1)), F.sum("n")).first()
     ends = training.count()
     total, distinct = (words or 0) + ends, (kinds or 0) + (ends > 0)
     floor = total + 0.1 * (distinct + 1)
 
-    def finish(block: Block, got: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def finish(block: Block, own: np.ndarray, found: np.ndarray) -> Iterator[pa.RecordBatch]:
         values, where, document = _distinct(block)
         n = len(block.ids)
         counts = np.zeros(len(values), dtype=np.int64)
-        for p in got:
-            own, c = expand(p, "<u8", "<i8")
-            counts[np.searchsorted(values, own)] = c
+        counts[np.searchsorted(values, own)] = found
         logs = np.log10((counts + 0.1) / floor)
         base = np.bincount(document, logs[where], n) + np.log10((ends + 0.1) / floor)
         known = np.bincount(document, (counts > 0)[where], n).astype(np.int64) + (ends > 0)
@@ -196,4 +173,4 @@ def score_documents(
             names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    return blocks.receive(replies.select("block", "payload"), finish, f"`{key}` {blocks.kept[0][1]}, {SCORED}")
+    return blocks.receive(replies(sent, F.sum("value"), F.col("total") > 0), finish, f"`{key}` {blocks.kept[0][1]}, {SCORED}")

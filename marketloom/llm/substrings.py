@@ -9,10 +9,10 @@ period puts both on cover positions, so every repeated window holds an anchor
 that both documents share.  Pass one exchanges anchors between blocks of text;
 pass two extends shared anchors to all windows around them and exchanges those
 windows' hashes with their smallest document; pass three removes what a smaller
-document holds.  Each pass sends one entry for each distinct value of a block,
-so a passage in every document costs one entry a block.
+document holds.  Each pass sends one row for each distinct value of a block,
+so a passage in every document costs one row a block.
 
-Windows are compared by 64-bit hashes inside hash buckets.  A null or empty
+Windows are compared by 64-bit hashes.  A null or empty
 text has no words and stays empty; documents shorter than a window stay whole;
 rows with equal ids do not remove each other's words; other columns are kept
 where named.  The kept words are joined by single spaces.
@@ -27,9 +27,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .arrow import discard, written
-from .blocks import Block, Blocks, answer, expand, squeeze
+from .blocks import Block, Blocks, replies
 from .words import CHUNK_BYTES, Words, runs
 
 _U = np.uint64
@@ -90,9 +91,9 @@ class Text:
         return self.place + length <= self.counts[self.document]
 
     def anchors(self, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
-        """(word index, 47-bit hash) of each anchor."""
+        """(word index, hash) of each anchor."""
         at = np.flatnonzero(self.starts(shape.anchor) & np.isin(self.place % shape.period, shape.cover))
-        return at, runs(self.hashes, shape.anchor)[at] >> _U(17)
+        return at, runs(self.hashes, shape.anchor)[at]
 
     def windows(self, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
         """(word index, hash) of each window."""
@@ -100,17 +101,6 @@ class Text:
         return at, runs(self.hashes, shape.width, seed=1)[at]
 
 
-def _six(values: np.ndarray) -> np.ndarray:
-    """Lowest six bytes of each value."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-
-
-def _eight(data: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
-    out[:, :6] = data.reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
 def _smallest(hashes: np.ndarray, documents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes and the smallest document of each."""
     order = np.lexsort((documents, hashes))
@@ -120,41 +110,26 @@ def _smallest(hashes: np.ndarray, documents: np.ndarray) -> tuple[np.ndarray, np
     return hashes[first], documents[first]
 
 
-def send_anchors(shape: Shape) -> Callable[[Block], tuple[np.ndarray, tuple[np.ndarray, ...]]]:
-    """Distinct anchors of a block; the low bit says that two of its documents have it."""
+def send_anchors(shape: Shape) -> Callable[[Block], tuple[np.ndarray, np.ndarray]]:
+    """Distinct anchors of a block: 2 where two of its documents have it, else 1."""
 
-    def work(block: Block) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    def work(block: Block) -> tuple[np.ndarray, np.ndarray]:
         text = Text(block)
         at, hashes = text.anchors(shape)
         low, smallest = _smallest(hashes, block.ids[text.document[at]])
         _, largest = _smallest(hashes, -block.ids[text.document[at]])
-        return low, (_six(low << _U(1) | (smallest != -largest)),)
+        return low, 1 + (smallest != -largest)
 
     return work
 
 
-def shared_anchors(payloads: list[bytes]) -> list[bytes | None]:
-    """For each block its anchors that two documents have."""
-    parts = [_eight(expand(p, "u1")[0]) for p in payloads]
-    everything = np.concatenate(parts)
-    values, where = np.unique(everything >> _U(1), return_inverse=True)
-    shared = (np.bincount(where) > 1) | (np.bincount(where, everything & _U(1)) > 0)
-    out: list[bytes | None] = []
-    at = 0
-    for p in parts:
-        own = values[where[at : at + len(p)]][shared[where[at : at + len(p)]]]
-        at += len(p)
-        out.append(squeeze(_six(own)) if len(own) else None)
-    return out
-
-
-def send_windows(shape: Shape) -> Callable[[Block, list[bytes]], tuple[np.ndarray, tuple[np.ndarray, ...]]]:
+def send_windows(shape: Shape) -> Callable[[Block, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """Windows around shared anchors, with the block's smallest document of each."""
 
-    def work(block: Block, replies: list[bytes]) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
-        if not replies:
-            return np.empty(0, dtype=np.uint64), (np.empty(0, dtype="<u8"), np.empty(0, dtype="<i8"))
-        shared = np.sort(np.concatenate([_eight(expand(p, "u1")[0]) for p in replies]))
+    def work(block: Block, shared: np.ndarray, _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(shared):
+            return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        shared = np.sort(shared)
         text = Text(block)
         at, hashes = text.anchors(shape)
         near = np.searchsorted(shared, hashes)
@@ -165,36 +140,19 @@ def send_windows(shape: Shape) -> Callable[[Block, list[bytes]], tuple[np.ndarra
             wanted[at[ok] - back] = True
         places, windows = text.windows(shape)
         own = wanted[places]
-        low, smallest = _smallest(windows[own], block.ids[text.document[places[own]]])
-        return low, (low.astype("<u8"), smallest.astype("<i8"))
+        return _smallest(windows[own], block.ids[text.document[places[own]]])
 
     return work
 
 
-def smaller_documents(payloads: list[bytes]) -> list[bytes | None]:
-    """For each block its windows that a smaller document has, with the smallest."""
-    parts = [expand(p, "<u8", "<i8") for p in payloads]
-    hashes, documents = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-    low, smallest = _smallest(hashes, documents)
-    out: list[bytes | None] = []
-    for own, least in parts:
-        best = smallest[np.searchsorted(low, own)]
-        hit = best < least
-        out.append(squeeze(own[hit], best[hit]) if hit.any() else None)
-    return out
-
-
-def covered(block: Block, replies: list[bytes], shape: Shape) -> tuple[Text, np.ndarray]:
-    """The block's text and which of its words go."""
+def covered(block: Block, far: np.ndarray, least: np.ndarray, shape: Shape) -> tuple[Text, np.ndarray]:
+    """The block's text and which of its words go: `far` are its windows that a smaller document, `least`, has."""
     text = Text(block)
     places, windows = text.windows(shape)
     ids = block.ids[text.document[places]]
     low, smallest = _smallest(windows, ids)
-    if replies:
-        parts = [expand(p, "<u8", "<i8") for p in replies]
-        far, least = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        at = np.searchsorted(low, far)
-        smallest[at] = np.minimum(smallest[at], least)
+    at = np.searchsorted(low, far)
+    smallest[at] = np.minimum(smallest[at], least)
     hit = places[smallest[np.searchsorted(low, windows)] < ids]
     edge = np.zeros(len(text.hashes) + 1, dtype=np.int64)
     edge[hit] += 1
@@ -268,15 +226,17 @@ def remove_repeats(
     names = [f.strip().split()[0] for f in schema.split(",")]
     kept = [c for c in dict.fromkeys([key, *(keep or [])]) if c not in (*names, "n_words", "n_removed")]
     blocks = Blocks(docs, key, text, kept)
-    anchors = written(answer(blocks.send(send_anchors(shape)), shared_anchors), {"compression": "uncompressed"})
-    windows = written(answer(blocks.receive_and_send(anchors, send_windows(shape)), smaller_documents), {"compression": "uncompressed"})
+    plain = {"compression": "uncompressed"}
+    anchors = written(blocks.send(send_anchors(shape)), plain)
+    shared = replies(anchors, F.sum("value"), F.col("total") > 1)
+    windows = written(blocks.receive_and_send(shared, send_windows(shape)), plain)
     discard(docs.sparkSession, anchors)
 
-    def finish(block: Block, replies: list[bytes]) -> Iterator[pa.RecordBatch]:
-        own, gone = covered(block, replies, shape)
+    def finish(block: Block, far: np.ndarray, least: np.ndarray) -> Iterator[pa.RecordBatch]:
+        own, gone = covered(block, far, least, shape)
         removed = np.bincount(own.document, gone, len(block.ids)).astype(np.int64)
         made = derive(block, gone, own.counts)
         yield pa.RecordBatch.from_arrays([*block.rest.columns, pa.array(own.counts), pa.array(removed), *(made[n] for n in names)], names=[*kept, "n_words", "n_removed", *names])
 
     out = ", ".join([f"`{n}` {kind}" for n, kind in blocks.kept] + ["n_words bigint", "n_removed bigint", schema])
-    return blocks.receive(windows, finish, out)
+    return blocks.receive(replies(windows, F.min("value"), F.col("total") < F.col("value")), finish, out)
