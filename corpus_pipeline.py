@@ -7,8 +7,8 @@ Parquet in the shared folder and read again.
 * language_id drops documents without a letter and those that the byte network
   gives no language a score of LEAST_SCORE or more.
 * near_duplicates keeps the smallest document of each class of near-duplicates
-  (five-word shingles, similarity of 0.8 or more); rows that repeat an id stay
-  or go together.
+  (five-word shingles, similarity of 0.8 or more); rows that repeat an id and a
+  text stay or go together.
 * substring_dedup cuts passages of 50 words or more that a document with a
   smaller id also has; other text stays as it is, byte for byte.
 * mixing keeps the documents that the seeded token prefix of each leaf reaches,
@@ -16,7 +16,10 @@ Parquet in the shared folder and read again.
 * byte_bpe encodes what is left and decodes it again.
 
 Null texts have no letter and go in the first stage; empty input passes through
-every stage; columns beyond those of documents are carried along.
+every stage; columns beyond those of documents are carried along.  Decisions
+are taken by id and text: rows that repeat an id with another text have their
+own, and rows with a null id are kept or not like any other (copies of one text
+with null ids all stay where no row with an id has it).
 """
 
 from __future__ import annotations
@@ -57,9 +60,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _back(named.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)), docs, names)
 
 
+def _matching(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows whose id and mark are among `chosen`."""
+    picked = chosen.select(F.col("doc_id").alias("own_id"), F.col("mark").alias("own_mark"))
+    return rows.join(picked, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark")), "left_semi")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = minhash.near_duplicates(docs, width=5, percent=80)
-    return docs.join(classes.where("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    own, names = _apart(docs)
+    marked = own.withColumn("mark", F.xxhash64("text"))
+    classes = minhash.near_duplicates(marked, width=5, percent=80, keep=("mark",))
+    return _back(_matching(marked, classes.where("kept")), docs, names)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,8 +84,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    chosen = mixing.mix(docs, MIX, F.expr(DOMAIN)).where("copies > 0 OR cut_tokens > 0").select("doc_id")
-    return docs.join(chosen, "doc_id", "left_semi").select(*docs.columns)
+    own, names = _apart(docs)
+    marked = own.withColumn("mark", F.xxhash64("text"))
+    chosen = mixing.mix(marked, MIX, F.expr(DOMAIN), keep=("mark",)).where("copies > 0 OR cut_tokens > 0")
+    return _back(_matching(marked, chosen), docs, names)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,12 +18,16 @@ from pyspark.sql import functions as F
 def scratch(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which all executors share.
 
-    Only where that setting is absent (tests, a laptop) is a local one set.
+    Only where that setting is absent and one machine does all the work (tests,
+    a laptop) is a local one set; on a cluster its absence is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        folder = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = folder.get() if folder.isDefined() else "/tmp/marketloom-scratch"
+        context = spark.sparkContext
+        folder = context._jsc.sc().getCheckpointDir()
+        if not folder.isDefined() and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = folder.get() if folder.isDefined() else f"{tempfile.gettempdir()}/marketloom-scratch"
     return f"{root.rstrip('/')}/marketloom-{uuid.uuid4().hex}"
 
 

@@ -19,6 +19,27 @@ from .arrow import discard, written
 SALTS = 16
 
 
+def dealt(rows: DataFrame, node: str) -> DataFrame:
+    """rows with a `salt` from their node, to meet a row that stands once for each salt."""
+    return rows.withColumn("salt", F.pmod(F.xxhash64(node), F.lit(SALTS)).cast("int"))
+
+
+def copied(rows: DataFrame) -> DataFrame:
+    """Each row once for every `salt`."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with `node`, numbers that rise with the columns `order` (nulls last), which tell all rows apart."""
+    return rows.orderBy(*[F.col(c).asc_nulls_last() for c in order]).withColumn("node", F.monotonically_increasing_id())
+
+
+def named(nodes: DataFrame, classes: DataFrame, name: str) -> DataFrame:
+    """node and `class`, the column `name` of the node that its component is called by; only nodes with an edge."""
+    roots = classes.where("node = component").join(nodes.select("node", F.col(name).alias("class")), "node").select(F.col("node").alias("component"), "class")
+    return dealt(classes, "node").join(copied(roots), ["component", "salt"]).select("node", "class")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 100) -> DataFrame:
     """node, component (smallest node reachable) of every node with an edge.
 
@@ -32,9 +53,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         seen = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
         nearer = labels.join(seen, "node").select("node", F.col("component").alias("old"), F.least("component", "c").alias("component"))
         # a large class shares one label: its nodes are dealt over SALTS copies of the label's own row
-        jump = nearer.where("node <> component").select(F.col("node").alias("component"), F.col("component").alias("further"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        salted = nearer.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-        moved = written(salted.join(jump, ["component", "salt"], "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component")))
+        jump = copied(nearer.where("node <> component").select(F.col("node").alias("component"), F.col("component").alias("further")))
+        moved = written(dealt(nearer, "node").join(jump, ["component", "salt"], "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component")))
         changed = moved.where("old <> component").limit(1).count()
         discard(spark, labels)
         labels = moved.select("node", "component")

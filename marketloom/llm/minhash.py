@@ -18,8 +18,12 @@ From candidates to exact classes, without emitting the pairs of a group:
 
 A null or empty text, or one without words, has an empty set and links with
 nothing; with fewer words than a shingle, the whole sequence is one shingle.
-Repeated document ids are kept row by row.  Extra columns are ignored.
-Shingles are compared by 64-bit hashes.
+Rows are told apart by their sets, never by id alone: rows that repeat an id
+with other texts have links and classes of their own, and rows that repeat both
+share one result.  A row with a null id takes part like any other; a class is
+called by its smallest id that is not null, and only rows with a null id are
+kept in a class without one.  Extra columns are ignored unless named in `keep`.
+Shingles are compared by 64-bit hashes, sets by 128 bits.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_groups, trimmed, written
-from .graph import components
+from .graph import components, named, numbered
 from .words import Words, _stream, mix, runs, slices
 
 PERMUTATIONS = 64
@@ -83,24 +87,32 @@ def bands(signatures: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _print(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit hashes of a set."""
+    if not len(s):
+        return 0, 0
+    weights = s * _U(0xD6E8FEB86659FD93)
+    return int(mix(np.add.reduce(mix(s), keepdims=True))[0]) ^ len(s), int(mix(np.add.reduce(mix(weights), keepdims=True))[0])
+
+
+def _prints(prints: list[tuple[int, int]]) -> tuple[pa.Array, pa.Array]:
+    one, two = np.array(prints, dtype=np.uint64).reshape(-1, 2).T.copy().view(np.int64)
+    return pa.array(one), pa.array(two)
+
+
 def _table(texts: pa.Array, width: int) -> dict[str, pa.Array]:
-    sizes, prints, sketches, keys = [], [], [], []
+    sizes, prints, sketches = [], [], []
     for s in shingle_sets(texts, width):
         sizes.append(len(s))
-        if len(s):
-            weights = s * _U(0xD6E8FEB86659FD93)
-            prints.append((int(mix(np.add.reduce(mix(s), keepdims=True))[0]) ^ len(s), int(mix(np.add.reduce(mix(weights), keepdims=True))[0])))
-            sketches.append(signature(s))
-        else:
-            prints.append((0, 0))
-            sketches.append(np.zeros(2 * PERMUTATIONS, dtype=np.uint32))
+        prints.append(_print(s))
+        sketches.append(signature(s) if len(s) else np.zeros(2 * PERMUTATIONS, dtype=np.uint32))
     full = np.array(sketches, dtype=np.uint32).reshape(len(sizes), 2 * PERMUTATIONS)
-    one, two = np.array(prints, dtype=np.uint64).reshape(-1, 2).T.copy().view(np.int64)
+    one, two = _prints(prints)
     small = (full * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
     return {
         "n": pa.array(sizes, pa.int64()),
-        "print1": pa.array(one),
-        "print2": pa.array(two),
+        "print1": one,
+        "print2": two,
         "sketch": pa.array([r.tobytes() for r in small], pa.binary()),
         "keys": pa.array(list(bands(full)), pa.list_(pa.int64())),
     }
@@ -132,7 +144,7 @@ def _edges(ids: np.ndarray, forest: list[tuple[int, int]]) -> Iterator[pa.Record
 def _similar(least: float):  # noqa: ANN202
     def make():  # noqa: ANN202
         def work(_: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            ids = rows["doc"].to_numpy()
+            ids = rows["node"].to_numpy()
             if len(ids) < 2:
                 return
             sketches = np.frombuffer(b"".join(rows["sketch"].to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
@@ -160,7 +172,7 @@ def _similar(least: float):  # noqa: ANN202
 def _links(percent: int):  # noqa: ANN202
     def make():  # noqa: ANN202
         def work(_: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            ids = rows["doc"].to_numpy()
+            ids = rows["node"].to_numpy()
             if len(ids) < 2:
                 return
             sizes = rows["n"].to_numpy()
@@ -201,42 +213,46 @@ def _paired(rows: DataFrame, key: str, blocks: str, id_: str) -> DataFrame:
     return own.withColumn("_other", other).withColumn("i", F.least("_own", "_other")).withColumn("j", F.greatest("_own", "_other")).where((F.col("i") < F.col("j")) | (F.col(blocks) == 1)).drop("_own", "_other", blocks)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """key, n_shingles, component_id and kept of each document (see the module)."""
-    out = "doc bigint, n bigint, print1 bigint, print2 bigint, sketch binary, keys array<bigint>"
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, columns to keep, n_shingles, component_id and kept of each document (see the module)."""
+    texts = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
+    carried = [f"k{i}" for i in range(len(keep))]
+    out = ", ".join(["doc bigint, n bigint, print1 bigint, print2 bigint, sketch binary, keys array<bigint>", *(f"{k} {docs.schema[c].dataType.simpleString()}" for k, c in zip(carried, keep, strict=True))])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 made = _table(part.column(1), width)
-                yield pa.RecordBatch.from_arrays([part.column(0), *made.values()], names=["doc", *made])
+                yield pa.RecordBatch.from_arrays([part.column(0), *made.values(), *part.columns[2:]], names=["doc", *made, *carried])
 
-    texts = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
+    prints = ["print1", "print2"]
     table = written(texts.mapInArrow(trimmed(sketch), out))
-    reps = written(table.where("n > 0").groupBy("print1", "print2").agg(F.min("doc").alias("doc")))
-    lone = written(table.join(reps, ["print1", "print2", "doc"]).dropDuplicates(["doc"]).select("doc", "n", "sketch", "keys"))
-    keyed = lone.select("doc", F.explode("keys").alias("key"))
+    reps = written(numbered(table.where("n > 0").groupBy(*prints).agg(F.min("doc").alias("doc")), ["doc", *prints]))
+    same = [table[c] == reps[c] for c in prints] + [table["doc"].eqNullSafe(reps["doc"])]
+    lone = written(table.join(reps, same).select("node", reps["doc"], *[reps[c] for c in prints], "n", "sketch", "keys").dropDuplicates(["node"]))
+    keyed = lone.select("node", F.explode("keys").alias("key"))
     full = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key", F.ceil(F.col("members") / BLOCK).alias("blocks")))
     least = max(0.0, percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / (2 * PERMUTATIONS)) ** 0.5)
-    members = _paired(keyed.join(full, "key"), "key", "blocks", "doc").join(lone.select("doc", "sketch"), "doc")
-    alike = map_groups(members.select("key", "i", "j", "doc", "sketch"), ["key", "i", "j"], _similar(least), "a bigint, b bigint", order=["doc"])
+    members = _paired(keyed.join(full, "key"), "key", "blocks", "node").join(lone.select("node", "sketch"), "node")
+    alike = map_groups(members.select("key", "i", "j", "node", "sketch"), ["key", "i", "j"], _similar(least), "a bigint, b bigint", order=["node"])
     family = written(components(alike))
-    sized = written(lone.select("doc", "n").join(family.withColumnRenamed("node", "doc"), "doc"))
+    sized = written(lone.select("node", "doc", *prints, "n").join(family, "node"))
     blocks = written(sized.groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK)).alias("blocks")))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                sets = pa.array([s.tobytes() for s in shingle_sets(part.column(1), width)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), sets], names=["doc", "shingles"])
-
-    sets = texts.join(sized.select("doc"), "doc", "left_semi").select("doc", "text").mapInArrow(trimmed(fetch), "doc bigint, shingles binary")
-    placed = _paired(sized.join(blocks, "component"), "component", "blocks", "doc").join(sets, "doc")
-    links = map_groups(placed.select("component", "i", "j", "doc", "n", "shingles"), ["component", "i", "j"], _links(percent), "a bigint, b bigint", order=["doc"])
-    classes = components(links)
-    named = written(reps.join(classes.withColumnRenamed("node", "doc"), "doc", "left").select("print1", "print2", F.coalesce("component", "doc").alias("class")))
-    return table.select("doc", "n", "print1", "print2").join(named, ["print1", "print2"], "left").select(
-        F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("class", "doc").alias("component_id"), (F.coalesce("class", "doc") == F.col("doc")).alias("kept")
-    )
+                sets = list(shingle_sets(batch.column(0).slice(at, 1000), width))
+                yield pa.RecordBatch.from_arrays([*_prints([_print(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())], names=[*prints, "shingles"])
+
+    wanted = sized.select(F.col("doc").alias("own")).distinct()
+    sets = texts.join(wanted, F.col("doc").eqNullSafe(F.col("own")), "left_semi").select("text").mapInArrow(trimmed(fetch), "print1 bigint, print2 bigint, shingles binary")
+    # rows that repeat an id and a text come once
+    placed = _paired(sized.join(blocks, "component"), "component", "blocks", "node").join(sets.dropDuplicates(prints), prints)
+    links = map_groups(placed.select("component", "i", "j", "node", "n", "shingles"), ["component", "i", "j"], _links(percent), "a bigint, b bigint", order=["node"])
+    classes = named(reps, components(links), "doc")
+    result = written(reps.join(classes, "node", "left").select(*prints, F.coalesce("class", "doc").alias("class")))
+    joined = table.select("doc", "n", *prints, *carried).join(result, prints, "left")
+    component = F.coalesce("class", "doc")
+    return joined.select(F.col("doc").alias(key), *[F.col(k).alias(c) for k, c in zip(carried, keep, strict=True)], F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc")).alias("kept"))

@@ -11,11 +11,12 @@ A leaf with budget B and supply S takes B div S whole epochs of its documents
 and a token prefix of B mod S of one more epoch, whose order is seeded by
 (seed, epoch, document).  The cut is found by two histograms over the order's
 leading hash digits and an exact running sum inside the one remaining bucket
-(1/65,536 of a leaf), so no leaf is ever sorted in one task.
+(1/65,536 of a leaf), so no leaf is ever sorted in one task.  The tree's own
+rows (a few numbers for each source) are split in windows over one parent each.
 
 Null labels form a leaf of their own (named '?'); null or empty texts have no
-tokens, belong to no prefix and are never copied in part; repeated rows are
-taken row by row; empty input gives empty output.  Only the named columns are
+tokens, belong to no prefix and are never copied in part; repeated rows and
+null ids are taken row by row; empty input gives empty output.  Only the named columns are
 read, so clashing extra columns do no harm.
 """
 
@@ -98,10 +99,10 @@ def _cut(rows: DataFrame, digits: Column, left: str, names: tuple[str, str]) ->
     return hit.select(*TREE, F.col("d").alias(names[0]), (F.col(left) - F.col("b")).alias(names[1]))
 
 
-def mix(docs: DataFrame, target: Target, domain: Column, key: str = "doc_id", text: str = "text", language: str = "lang", source: str = "source") -> DataFrame:
-    """Per document: leaf, n_tokens, copies (whole epochs) and cut_tokens (its part of the last, partial epoch)."""
+def mix(docs: DataFrame, target: Target, domain: Column, key: str = "doc_id", text: str = "text", language: str = "lang", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: columns to keep, leaf, n_tokens, copies (whole epochs) and cut_tokens (its part of the last, partial epoch)."""
     named = [F.coalesce(c.cast("string"), F.lit("?")).alias(n) for c, n in zip((domain, F.col(language), F.col(source)), TREE, strict=True)]
-    slim = written(docs.select(F.col(key).alias("doc_id"), *named, F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint").alias("n_tokens")))
+    slim = written(docs.select(F.col(key).alias("doc_id"), *keep, *named, F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint").alias("n_tokens")))
     leaves = slim.groupBy(*TREE).agg(F.sum("n_tokens").alias("supply"))
     plan = leaf_budgets(leaves, target).select(*TREE, F.expr("CASE WHEN supply > 0 THEN budget div supply ELSE 0 END").alias("copies"), F.expr("CASE WHEN supply > 0 THEN budget % supply ELSE 0 END").alias("left0"))
     plan = written(plan)
@@ -113,7 +114,7 @@ def mix(docs: DataFrame, target: Target, domain: Column, key: str = "doc_id", te
     rows = ordered(two)
     last = (_digits(1) == F.col("digits1")) & (_digits(3) == F.col("digits2"))
     sure = F.when((_digits(1) < F.col("digits1")) | ((_digits(1) == F.col("digits1")) & (_digits(3) < F.col("digits2"))), F.col("n_tokens")).otherwise(F.lit(0))
-    out = ["doc_id", *TREE, "n_tokens", "copies"]
+    out = ["doc_id", *keep, *TREE, "n_tokens", "copies"]
     run = Window.partitionBy(*TREE).orderBy("order_key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     edge = rows.where(last).withColumn("b", F.coalesce(F.sum("n_tokens").over(run), F.lit(0)))
     edge = edge.select(*out, F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.col("left2") - F.col("b"))).cast("bigint").alias("cut_tokens"))

@@ -12,8 +12,9 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from marketloom.llm import attention, bpe, graph, lm, minhash, mixing, op1, substrings, vectors
+from marketloom.llm import attention, bpe, graph, langid, lm, minhash, mixing, op1, substrings, vectors
 from marketloom.llm.words import Words
 
 from . import data
@@ -57,6 +58,58 @@ def test_near_duplicates_are_exact(spark, width, monkeypatch):
     assert minhash.near_duplicates(data.empty(spark), width=width).count() == 0
 
 
+def row_classes(rows, alike):
+    """(id, smallest id reachable that is not null) of each row, by all pairs."""
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if alike(rows[a], rows[b]):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    least = defaultdict(list)
+    for i, r in enumerate(rows):
+        least[root(i)] += [r[0]] if r[0] is not None else []
+    return [(r[0], min(least[root(i)], default=None)) for i, r in enumerate(rows)]
+
+
+def jaccard(x, y, width=4):
+    sets = []
+    for t in (x[1], y[1]):
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + width]) for i in range(len(w) - width + 1)})
+    return bool(sets[0] and sets[1]) and 100 * len(sets[0] & sets[1]) >= 80 * len(sets[0] | sets[1])
+
+
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    rng = random.Random(9)
+    a, b, c, d = (" ".join(f"{x}{rng.randrange(900)}" for _ in range(60)) for x in "abcd")
+    rows = [(5, a), (5, b), (7, a + " q"), (9, b + " q"), (5, a), (None, c), (None, c + " q"), (12, c + " r"), (None, d), (None, d), (None, None), (3, None), (3, ""), (11, b)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs, width=4).collect())
+    assert got == Counter((i, c, i == c) for i, c in row_classes(rows, jaccard))
+    # the extra columns named in `keep` stay with their row
+    kept = minhash.near_duplicates(docs.selectExpr("doc_id", "text", "length(text) AS size"), width=4, keep=("size",)).collect()
+    assert Counter((r.doc_id, r["size"]) for r in kept) == Counter((i, None if t is None else len(t)) for i, t in rows)
+
+
+def test_near_duplicate_recall_at_the_threshold(spark):
+    rng = random.Random(4)
+    texts = []
+    for _ in range(60):  # pairs of two sets of 180 shingles, similar by exactly 0.8
+        own = [f"w{rng.randrange(10**6)}" for _ in range(183)]
+        texts += [" ".join(own), " ".join(own[:163] + [f"n{rng.randrange(10**6)}" for _ in range(20)])]
+    rows = list(enumerate(texts))
+    linked = {i for i, c in row_classes(rows, jaccard) if c != i}
+    got = {r.doc_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), width=4).collect() if not r.kept}
+    print(f"recall at 0.8: {len(got & linked)} of {len(linked)}")
+    assert len(linked) == 60 and got == linked
+
+
 def test_one_large_family(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 16)
     rng = random.Random(5)
@@ -161,7 +214,7 @@ def test_codes_never_lose_a_pair():
     x[150:] = x[:150] + rng.normal(scale=0.35, size=(150, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     codes, factors = vectors.code(x)
-    mask = vectors.candidates(codes, factors, x, 0.93)
+    mask = vectors.candidates(codes, factors, vectors.turned(x), 0.93)
     assert mask[(x @ x.T) >= 0.93].all() and mask.mean() < 0.05
 
 
@@ -235,6 +288,34 @@ def test_attention_gradients_match_differences():
         assert grads[name][at] == pytest.approx((up - down) / (2 * step), rel=2e-2, abs=1e-5), name
 
 
+def test_vectors_with_repeated_and_null_ids(spark):
+    rng = np.random.default_rng(6)
+    u, v, w = rng.normal(size=(3, 16))
+    rows = [(1, v, 1), (1, None, 1), (2, v * 2, 1), (3, u, 1), (3, w, 1), (None, u, 1), (8, w + 0.01, 1), (None, w, 2), (None, w, 2), (4, u, None), (1, v, 1)]
+    df = spark.createDataFrame([(i, None if x is None else x.tolist(), c) for i, x, c in rows], "vec_id bigint, embedding array<double>, label int").repartition(3)
+    alike = lambda x, y: x[1] is not None and y[1] is not None and x[2] is not None and x[2] == y[2] and x[1] @ y[1] / np.linalg.norm(x[1]) / np.linalg.norm(y[1]) >= 0.93
+    links = [sum(alike(x, y) for j, y in enumerate(rows) if j != i) for i, x in enumerate(rows)]
+    want = Counter((i, n, c, i == c) for (i, c), n in zip(row_classes(rows, alike), links))
+    assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df).collect()) == want
+
+
+def test_vector_recall_at_the_threshold(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(300):  # pairs at cosines around 0.93
+        x, y = rng.normal(size=(2, 64))
+        x /= np.linalg.norm(x)
+        y -= (y @ x) * x
+        c = 0.93 + 0.002 * (i % 5 - 2) + 1e-9  # no rounding decides
+        rows += [(2 * i, x.tolist()), (2 * i + 1, (c * x + math.sqrt(1 - c * c) * y / np.linalg.norm(y)).tolist())]
+    unit = np.array([r[1] for r in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    linked = set(np.flatnonzero(((unit @ unit.T) - np.eye(len(unit)) >= 0.93).any(axis=1)).tolist())
+    got = {r.vec_id for r in vectors.near_duplicates(spark.createDataFrame([(*r, 1) for r in rows], "vec_id bigint, embedding array<double>, label int")).collect() if r.n_links}
+    print(f"recall around 0.93: {len(got & linked)} of {len(linked)}")
+    assert len(linked) > 300 and got == linked
+
+
 def test_mixing_as_sql(spark, tmp_path):
     docs = data.frame(spark, 200, seed=3)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
@@ -264,6 +345,14 @@ def test_pipeline_stages(spark, tmp_path):
     docs = data.frame(spark, 150, seed=6)  # with extra columns that clash with outputs
     for name, stage in pipeline.STAGES:
         out = stage(spark, docs, str(tmp_path))
+        if name == "language_id":
+            model = langid.train(docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
+            named = langid.identify(docs.select("doc_id", "text"), model, ["doc_id"]).collect()
+            assert {r.doc_id for r in out.collect()} == {r.doc_id for r in named if r.lang_pred != "und" and r.score >= pipeline.LEAST_SCORE}
+        if name == "mixing":
+            names = {c: f"x_{c}" for c in ("score", "n_words", "label")}
+            rows = mixing.mix(docs.withColumnsRenamed(names), pipeline.MIX, F.expr(op1.DOMAIN)).collect()
+            assert {r.doc_id for r in out.collect()} == {r.doc_id for r in rows if r.copies or r.cut_tokens}
         if name == "near_duplicates":
             rows = {r.doc_id: r.text for r in docs.collect()}
             want = classes(list(rows), list(rows.values()), 5, 80)
@@ -278,5 +367,23 @@ def test_pipeline_stages(spark, tmp_path):
             out.write.parquet(str(tmp_path / name))
             docs = spark.read.parquet(str(tmp_path / name))
         else:
-            assert out.count() == docs.count()
+            rows = {r.doc_id: r.text for r in docs.collect()}
+            got = {r.doc_id: r for r in out.collect()}
+            assert out.count() == docs.count() and all(got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest() for i, t in rows.items())
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_pipeline_keeps_rows_apart_that_share_an_id(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    stages = dict(pipeline.STAGES)
+    rng = random.Random(2)
+    a, b, c = (" ".join(f"{x}{rng.randrange(900)}" for _ in range(40)) for x in "abc")
+    rows = [(3, a), (5, a + " q"), (5, b), (None, c), (None, b + " q"), (8, c + " q"), (9, a)]
+    docs = spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = [(r.doc_id, r.text) for r in stages["near_duplicates"](spark, docs, str(tmp_path)).collect()]
+    assert Counter(kept) == Counter([(3, a), (5, b), (8, c + " q")])
+    alone = docs.where("doc_id IS NULL")
+    assert stages["near_duplicates"](spark, alone, str(tmp_path)).count() == 2
+    mixed = stages["mixing"](spark, docs, str(tmp_path))
+    assert 0 < mixed.count() <= docs.count() and mixed.columns == docs.columns
+    assert stages["mixing"](spark, alone, str(tmp_path)).count() >= 1
