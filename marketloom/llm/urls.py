@@ -4,8 +4,10 @@ Rules name a host and a path prefix; a rule fits its host and all subdomains
 where the URL's path starts with the rule's path, and the longest fitting rule
 decides.  URLs that no rule fits are judged by boosted trees over lexical
 features: lengths, depth, digit ratio, entropy, parameter counts and statistics
-of the host's suffix.  The trees are trained on the URLs that a rule labels:
-a hash-chosen sample of at most about `sample` of them (documented bound).
+of the host's suffix.  Those statistics count all URLs that a rule labels; there
+are as many suffixes at most as rules, as a rule's host ends with its suffix.
+The trees are trained on the distinct URLs that a rule labels: the `sample` ones
+of the smallest hashes (documented bound).
 
 Null URLs and those without "://" have empty host and path, and are judged by
 the trees like any other.  If no rule labels any URL, or all labels agree, the
@@ -143,7 +145,7 @@ class BoostedTrees:
 JUDGED = "host string, path string, rule string, verdict string, block_score double"
 
 
-def judge(df: DataFrame, rules: list[tuple[str, str]], key: str = "page_id", url: str = "url", sample: int = 20_000, most_suffixes: int = 2000, seed: int = 3) -> DataFrame:
+def judge(df: DataFrame, rules: list[tuple[str, str]], key: str = "page_id", url: str = "url", sample: int = 20_000, seed: int = 3) -> DataFrame:
     """key, host, path, rule, verdict and block_score of each URL.
 
     block_score is 1 or 0 where a rule decides, else the trees' probability;
@@ -152,24 +154,18 @@ def judge(df: DataFrame, rules: list[tuple[str, str]], key: str = "page_id", url
     spark = df.sparkSession
     host, path = host_and_path(url)
     parsed = df.select(F.col(key), F.coalesce(F.col(url), F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
-    fits = F.lit(False)
-    for rule, _ in rules:
+    verdict = F.lit(None).cast("string")
+    for rule, said in sorted(rules, key=lambda r: len(r[0])):  # longer rules overrule shorter ones
         of, _, prefix = rule.partition("/")
-        fits = fits | (((F.col("host") == of) | F.col("host").endswith(f".{of}")) & F.col("path").startswith(f"/{prefix}"))
-    labelled = parsed.where(fits)
-    count = labelled.count()
-    near = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, sample / max(count, 1)) * (1 << 30))
-    rows = sorted(map(tuple, labelled.where(near).select("url", "host", "path").collect()))
-    own = Rules(rules)
-    y = np.array([own.judge(h, p)[1] == "block" for _, h, p in rows], dtype=np.float64)
-    seen: dict[str, list[float]] = {}
-    for (_, h, _), blocked in zip(rows, y, strict=True):
-        entry = seen.setdefault(h.rpartition(".")[2], [0.0, 0.0])
-        entry[0] += 1
-        entry[1] += blocked
-    suffixes = {s: (n, (b + 1) / (n + 2)) for s, (n, b) in sorted(seen.items(), key=lambda e: (-e[1][0], e[0]))[:most_suffixes]}
+        verdict = F.when(((F.col("host") == of) | F.col("host").endswith(f".{of}")) & F.col("path").startswith(f"/{prefix}"), said).otherwise(verdict)
+    labelled = parsed.withColumn("said", verdict).where("said IS NOT NULL")
+    counted = labelled.groupBy(F.substring_index("host", ".", -1).alias("suffix")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("said") == "block").alias("blocked")).collect()
+    suffixes = {r.suffix: (r.n, (r.blocked + 1) / (r.n + 2)) for r in counted}
+    chosen = labelled.select("url", "host", "path", "said").distinct().orderBy(F.xxhash64("url", F.lit(seed)), "url").limit(sample).collect()
+    rows = [(r.url, r.host, r.path) for r in chosen]
+    y = np.array([r.said == "block" for r in chosen], dtype=np.float64)
     x = np.array([features(*r, suffixes) for r in rows], dtype=np.float64).reshape(len(rows), len(FEATURES))
-    shared = spark.sparkContext.broadcast((own, suffixes, BoostedTrees().fit(x, y)))
+    shared = spark.sparkContext.broadcast((Rules(rules), suffixes, BoostedTrees().fit(x, y)))
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
