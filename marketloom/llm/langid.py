@@ -7,8 +7,10 @@ the softmax of the windows' mean logits, weighted by their bytes.  As a filter
 over one-hot bytes is a sum of table rows, inference looks up byte pairs.
 
 Training runs in numpy on the driver over a bounded sample of labelled rows:
-at most about `per_language` documents of each language, chosen by a hash of
-their key, `windows` windows each.
+about `per_language` distinct texts of each language, chosen by a hash of the
+text, and of all windows of their whole texts the `windows` ones a language with
+the smallest hashes, which is a strict bound.  More than `most` languages raise
+an error.
 
 A null text, or one without a letter, gets `und` and score 0.  Ties go to the
 first language in order.  With no labelled row at all every text is `und`.
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import trimmed
@@ -130,29 +132,30 @@ def windows_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return x, document, length
 
 
-def train(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = 1000, windows: int = 3, seed: int = 7) -> ByteCnn:
-    """Fits the network on a bounded, hash-chosen sample of labelled rows.
-
-    The number of languages must fit on the driver (a list of labels)."""
-    rows = df.where(F.col(label).isNotNull() & (F.length(text) > 0))
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+def train(df: DataFrame, text: str = "text", label: str = "lang", per_language: int = 1000, windows: int = 3000, most: int = 1000, seed: int = 7) -> ByteCnn:
+    """Fits the network on a bounded, hash-chosen sample of labelled rows (see the module)."""
+    digest = F.xxhash64(F.col(text), F.lit(seed))
+    rows = df.where(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(label).alias("y"), F.col(text).alias("t"), digest.alias("h"))
+    counts = rows.groupBy("y").agg(F.approx_count_distinct("h").alias("n")).limit(most + 1).collect()
     if not counts:
         return ByteCnn([UNKNOWN])
-    share = F.lit(0.0)
-    for name, count in sorted(counts.items()):
-        share = F.when(F.col(label) == name, F.lit(min(1.0, per_language / count))).otherwise(share)
-    spot = (F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)) < share
-    place = lambda i: F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(i)), F.greatest(F.length(text) - WINDOW // 2, F.lit(1)))
-    cut = [F.substring(F.col(text), (place(i) + 1).cast("int"), F.lit(WINDOW)) for i in range(windows)]
-    sample = rows.where(spot).select(F.col(key).cast("string").alias("k"), F.col(label).alias("y"), F.array(*cut).alias("x")).collect()
-    sample.sort(key=lambda r: (r["k"], r["y"]))
-    languages = sorted(counts)
+    if len(counts) > most:
+        raise ValueError(f"more than {most} languages")
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r["y"], min(1.0, per_language / max(r["n"], 1)))])
+    near = F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) < F.element_at(share, F.col("y"))
+    texts = rows.where(near).groupBy("y", "h").agg(F.min("t").alias("t"))
+    at = texts.select("y", "h", "t", F.explode(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / WINDOW).cast("int"))).alias("i"))
+    order = Window.partitionBy("y").orderBy(F.xxhash64("h", "i"), "h", "i")
+    ranked = at.select("y", F.expr(f"substring(t, i * {WINDOW} + 1, {WINDOW})").alias("x"), F.row_number().over(order).alias("r"))
+    sample = ranked.where(F.col("r") <= windows).select("y", "r", "x").collect()
+    sample.sort(key=lambda r: (r["y"], r["r"]))
+    languages = sorted(r["y"] for r in counts)
     index = {name: i for i, name in enumerate(languages)}
-    pieces = [(w.encode()[:WINDOW], index[r["y"]]) for r in sample for w in r["x"] if w]
-    x = np.zeros((len(pieces), WINDOW), dtype=np.uint8)
-    for i, (w, _) in enumerate(pieces):
+    x = np.zeros((len(sample), WINDOW), dtype=np.uint8)
+    for i, r in enumerate(sample):
+        w = r["x"].encode()[:WINDOW]
         x[i, : len(w)] = _FOLD[np.frombuffer(w, dtype=np.uint8)]
-    return ByteCnn(languages, seed).fit(x, np.array([y for _, y in pieces]))
+    return ByteCnn(languages, seed).fit(x, np.array([index[r["y"]] for r in sample]))
 
 
 def has_letter(text: str | Column) -> Column:
