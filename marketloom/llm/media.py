@@ -1,8 +1,9 @@
 """Media columns: ISO base media containers, written, walked and read back.
 
-`pack` stores a payload as 8-bit mono PCM samples of a raw
-audio track ('raw ') in an ISO media file: ftyp, moov with nested trak, mdia, minf
-and stbl, then mdat.  `inspect` walks the nested boxes of any such file,
+`pack` stores a payload as the frames of a raw video track ('raw ', 8 x 8 pixels
+of 8 bits) in an ISO media file: ftyp, moov with nested trak, mdia, minf and
+stbl, then mdat.  Sync samples are the first frame, every frame after one with a
+line feed, and every GROUP-th frame.  `inspect` walks the nested boxes of any such file,
 decodes the sample tables (stts, stsc, stsz, stco or co64, stss) and returns
 codec, duration and the byte ranges of the sync samples ("keyframes") without
 decoding a payload; `payload` follows the same tables to the stored bytes.
@@ -29,9 +30,10 @@ from .arrow import trimmed
 #: Boxes that hold boxes (fixed values of the format).
 NESTED = frozenset((b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"))
 UNITY = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
-RATE = 8000
-#: Samples of 8 bits in each chunk of the container.
-CHUNK = 1 << 16
+#: Frames a second, pixels along a frame's side, bytes of a frame.
+RATE, SIDE, FRAME = 25, 8, 64
+#: Frames between sync samples at most, and frames in each chunk of the container.
+GROUP, CHUNK = 16, 256
 
 
 def _box(kind: bytes, *body: bytes) -> bytes:
@@ -45,34 +47,40 @@ def _full(kind: bytes, flags: int, *body: bytes) -> bytes:
     return _box(kind, struct.pack(">I", flags), *body)
 
 
+def sync_frames(data: bytes) -> np.ndarray:
+    """Numbers (from 0) of the sync samples of a payload."""
+    frames = -(-len(data) // FRAME)
+    after = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10) // FRAME + 1
+    return np.union1d(np.arange(0, frames, GROUP), after[after < frames])
+
+
 def pack(data: bytes, rate: int = RATE) -> bytes:
-    """An ISO media file whose only track holds `data`, one sample a byte."""
-    n = len(data)
-    chunks = (n + CHUNK - 1) // CHUNK
+    """An ISO media file whose only track holds `data`; a last, incomplete frame stays short."""
+    n = -(-len(data) // FRAME)
+    chunks = -(-n // CHUNK)
     ftyp = _box(b"ftyp", b"isom", struct.pack(">I", 512), b"isomiso2mp41")
-    wide = n >= 1 << 31
-    entry = _box(b"raw ", bytes(6), struct.pack(">H", 1), bytes(8), struct.pack(">HHHHI", 1, 8, 0, 0, min(rate, 65535) << 16))
-    runs = []
-    if n:
-        last = n - (chunks - 1) * CHUNK
-        if chunks > 1:
-            runs.append((1, CHUNK, 1))
-        if chunks == 1 or last != CHUNK:
-            runs.append((chunks, last, 1))
+    wide = len(data) >= 1 << 31
+    entry = _box(b"raw ", bytes(6), struct.pack(">H", 1), bytes(16), struct.pack(">HHII", SIDE, SIDE, 72 << 16, 72 << 16), bytes(4), struct.pack(">H", 1), bytes(32), struct.pack(">Hh", 40, -1))
+    last = n - (chunks - 1) * CHUNK
+    runs = [(1, CHUNK, 1)] * (chunks > 1) + [(chunks, last, 1)] * (chunks == 1 or (chunks > 1 and last != CHUNK))
+    whole = len(data) % FRAME == 0
+    sizes = b"" if whole else np.minimum(FRAME, len(data) - FRAME * np.arange(n)).astype(">u4").tobytes()
+    sync = (sync_frames(data) + 1).astype(">u4").tobytes()
 
     def movie(start: int) -> bytes:
-        places = start + CHUNK * np.arange(chunks, dtype=np.int64)
+        places = start + CHUNK * FRAME * np.arange(chunks, dtype=np.int64)
         stbl = _box(
             b"stbl",
             _full(b"stsd", 0, struct.pack(">I", 1), entry),
             _full(b"stts", 0, struct.pack(">I", bool(n)), struct.pack(">II", n, 1) if n else b""),
+            _full(b"stss", 0, struct.pack(">I", len(sync) // 4), sync),
             _full(b"stsc", 0, struct.pack(">I", len(runs)), b"".join(struct.pack(">III", *r) for r in runs)),
-            _full(b"stsz", 0, struct.pack(">II", 1, n)),
+            _full(b"stsz", 0, struct.pack(">II", FRAME if whole else 0, n), sizes),
             _full(b"co64" if wide else b"stco", 0, struct.pack(">I", chunks), places.astype(">u8" if wide else ">u4").tobytes()),
         )
-        minf = _box(b"minf", _full(b"smhd", 0, bytes(4)), _box(b"dinf", _full(b"dref", 0, struct.pack(">I", 1), _full(b"url ", 1))), stbl)
-        mdia = _box(b"mdia", _full(b"mdhd", 0, struct.pack(">IIIIHH", 0, 0, rate, n & 0xFFFFFFFF, 0x55C4, 0)), _full(b"hdlr", 0, bytes(4), b"soun", bytes(12), b"samples\0"), minf)
-        tkhd = _full(b"tkhd", 7, struct.pack(">IIIII", 0, 0, 1, 0, n & 0xFFFFFFFF), bytes(8), struct.pack(">HHHH", 0, 0, 256, 0), UNITY, bytes(8))
+        minf = _box(b"minf", _full(b"vmhd", 1, bytes(8)), _box(b"dinf", _full(b"dref", 0, struct.pack(">I", 1), _full(b"url ", 1))), stbl)
+        mdia = _box(b"mdia", _full(b"mdhd", 0, struct.pack(">IIIIHH", 0, 0, rate, n & 0xFFFFFFFF, 0x55C4, 0)), _full(b"hdlr", 0, bytes(4), b"vide", bytes(12), b"frames\0"), minf)
+        tkhd = _full(b"tkhd", 7, struct.pack(">IIIII", 0, 0, 1, 0, n & 0xFFFFFFFF), bytes(8), bytes(8), UNITY, struct.pack(">II", SIDE << 16, SIDE << 16))
         mvhd = _full(b"mvhd", 0, struct.pack(">IIII", 0, 0, rate, n & 0xFFFFFFFF), struct.pack(">IH", 0x10000, 256), bytes(10), UNITY, bytes(24), struct.pack(">I", 2))
         return _box(b"moov", mvhd, _box(b"trak", tkhd, mdia))
 
@@ -121,8 +129,7 @@ def _tracks(data: bytes) -> list[dict]:
 class Track:
     """Sample table of one track: where each sample is, how long, which are sync samples.
 
-    A constant sample size (as PCM has) is kept as one number, so that a long
-    track costs its chunks, not its samples.
+    A constant sample size (as raw frames have) is kept as one number.
     """
 
     def __init__(self, data: bytes, boxes: dict) -> None:
