@@ -94,33 +94,213 @@ FORMS = (
     ("name", 20, 80, r"(?:{name})", ""),
 )
 
-#: Rules without a name: (label, priority, confidence, keywords, expression).
+#: Sentences of licence texts and file headers: (label, priority, confidence, keywords, expression).
 TEXTS = (
     ("mit", 50, 100, "hereby", r"permission is hereby granted free of charge to any person obtaining a copy"),
     ("mit", 50, 95, "substantial", r"shall be included in all copies or substantial portions of the software"),
+    ("mit", 50, 95, "sublicense", r"to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell"),
+    ("mit", 45, 90, "noninfringement", r"including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("mit", 45, 90, "liability", r"in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    ("x11", 50, 95, "advertising", r"except as contained in this notice the names? of(?: \S+){1,10} shall not be used in advertising"),
+    ("boost", 55, 100, "organization", r"permission is hereby granted free of charge to any person or organization obtaining a copy"),
     ("isc", 50, 95, "permission", r"permission to use copy modify and or distribute this software for any purpose"),
+    ("isc", 50, 95, "warranties", r"the software is provided as is and the authors? disclaims? all warranties with regard to this software"),
+    ("isc", 45, 90, "consequential", r"in no event shall the authors? be liable for any special direct indirect or consequential damages"),
+    ("hpnd", 55, 95, "documentation", r"permission to use copy modify (?:distribute )?and (?:distribute|sell) this software and its documentation for any purpose"),
     ("bsd", 50, 100, "redistributions", r"redistributions of source code must retain the above copyright notice"),
     ("bsd", 50, 95, "redistributions", r"redistributions in binary form must reproduce the above copyright notice"),
-    ("bsd-3-clause", 50, 95, "endorse", r"neither the name of(?: \S+){1,12} may be used to endorse or promote products"),
+    ("bsd", 50, 95, "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-3-clause", 50, 95, "endorse", r"neither the names? of(?: \S+){1,12} may be used to endorse or promote products"),
+    ("bsd-4-clause", 50, 95, "acknowledgement", r"all advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    ("bsd-4-clause", 50, 95, "acknowledgment", r"all advertising materials mentioning features or use of this software must display the following acknowledgment"),
+    ("bsd", 45, 90, "express", r"this software is provided by the(?: \S+){1,8} as is and any express or implied warranties"),
+    ("bsd", 45, 90, "exemplary", r"be liable for any direct indirect incidental special exemplary or consequential damages"),
+    ("bsd", 40, 85, "regents", r"the regents of the university of california"),
+    ("bsd", 40, 90, "governed", r"use of this source code is governed by a bsd style license"),
+    ("bsd-2-clause-patent", 50, 95, "receiving", r"each copyright holder and contributor hereby grants to those receiving rights under this license"),
     ("gpl", 45, 95, "foundation", r"general public license as published by the free software foundation"),
     ("gpl", 45, 90, "warranty", r"this program is distributed in the hope that it will be useful but without any warranty"),
+    ("gpl", 45, 95, "redistribute", r"this (?:program|file|software|package) is free software you can redistribute it and or modify"),
+    ("gpl-1.0-or-later", 45, 90, "option", r"either version 1 (?:of the license )?or at your option any later version"),
+    ("gpl-2.0-or-later", 45, 90, "option", r"either version 2 (?:of the license )?or at your option any later version"),
+    ("gpl-3.0-or-later", 45, 90, "option", r"either version 3 (?:of the license )?or at your option any later version"),
+    ("gpl", 45, 95, "gnu", r"you should have received a copy of the gnu general public license"),
+    ("gpl", 45, 95, "verbatim", r"everyone is permitted to copy and distribute verbatim copies of this license document"),
+    ("gpl-2.0", 50, 95, "freedom", r"the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl-2.0", 50, 90, "verbatim", r"you may copy and distribute verbatim copies of the program s source code"),
+    ("gpl-2.0", 50, 90, "derived", r"you must cause any work that you distribute or publish that in whole or in part contains or is derived from the program"),
+    ("gpl-3.0", 50, 95, "copyleft", r"the gnu general public license is a free copyleft license for software"),
+    ("gpl-3.0", 50, 90, "convey", r"you may convey verbatim copies of the program s source code as you receive it"),
+    ("gpl-3.0", 45, 90, "propagate", r"you may make run and propagate covered works that you do not convey"),
+    ("gpl-1.0", 25, 80, "gplv1", r"gplv1"),
+    ("gpl-2.0", 25, 80, "gplv2", r"gplv2(?: 0)?"),
+    ("gpl-3.0", 25, 80, "gplv3", r"gplv3(?: 0)?"),
+    ("gpl", 20, 70, "gpl", r"gnu gpl"),
+    ("gpl-2.0", 25, 75, "gpl", r"gpl (?:version |v )?2(?: 0)?(?: or later| only)?"),
+    ("gpl-3.0", 25, 75, "gpl", r"gpl (?:version |v )?3(?: 0)?(?: or later| only)?"),
+    ("gpl-classpath-exception", 50, 95, "classpath", r"(?:gnu )?classpath exception"),
+    ("gpl-classpath-exception", 50, 95, "statically", r"linking this library statically or dynamically with other modules is making a combined work"),
+    ("gpl-font-exception", 50, 90, "embed", r"if you create a document which uses this font and embed this font"),
+    ("gpl-gcc-exception", 50, 95, "gcc", r"gcc runtime library exception"),
+    ("gpl-bison-exception", 50, 95, "bison", r"you may create a larger work that contains part or all of the bison parser skeleton"),
+    ("gpl-autoconf-exception", 50, 90, "autoconf", r"configuration script generated by autoconf"),
+    ("lgpl", 45, 95, "library", r"this library is free software you can redistribute it and or modify"),
+    ("lgpl", 45, 90, "library", r"this library is distributed in the hope that it will be useful but without any warranty"),
+    ("lgpl-2.1", 50, 90, "derivative", r"a program that contains no derivative of any portion of the library"),
+    ("lgpl-2.0", 25, 80, "lgplv2", r"lgplv2(?: 0)?"),
+    ("lgpl-2.1", 25, 80, "lgplv2", r"lgplv2 1"),
+    ("lgpl-3.0", 25, 80, "lgplv3", r"lgplv3(?: 0)?"),
+    ("lgpl", 20, 70, "lgpl", r"(?:gnu )?lgpl(?: licen[cs]e)?"),
+    ("agpl-3.0", 50, 95, "remotely", r"must prominently offer all users interacting with it remotely through a computer network"),
+    ("agpl-3.0", 25, 80, "agplv3", r"agplv3(?: 0)?"),
+    ("agpl", 20, 70, "agpl", r"(?:gnu )?agpl(?: licen[cs]e)?"),
+    ("sspl-1.0", 45, 95, "server", r"server side public licen[cs]e(?: version 1| v1)?"),
+    ("sspl-1.0", 50, 95, "functionality", r"if you make the functionality of the program or a modified version available to third parties as a service"),
+    ("gfdl", 50, 95, "invariant", r"with no invariant sections(?: with)? no front cover texts and(?: with)? no back cover texts"),
+    ("gfdl", 50, 95, "documentation", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
     ("apache-2.0", 50, 100, "compliance", r"you may not use this file except in compliance with the license"),
     ("apache-2.0", 45, 90, "apache", r"www apache org licenses license 2 0"),
+    ("apache-2.0", 50, 95, "applicable", r"unless required by applicable law or agreed to in writing software distributed under the license"),
+    ("apache-2.0", 50, 95, "governing", r"see the license for the specific language governing permissions and limitations"),
+    ("apache-2.0", 50, 95, "irrevocable", r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable"),
+    ("apache", 45, 90, "apache", r"this product includes software developed (?:by|at) the apache software foundation"),
+    ("apache-2.0", 20, 70, "apache", r"apache 2 0"),
+    ("apache-2.0", 20, 70, "asl", r"asl 2 0"),
     ("mpl-2.0", 50, 100, "mozilla", r"this source code form is subject to the terms of the mozilla public license"),
+    ("mpl-2.0", 50, 95, "mpl", r"if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl-1.1", 50, 95, "contents", r"the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-2.0", 50, 90, "secondary", r"this source code form is incompatible with secondary licenses"),
+    ("mpl", 20, 70, "mpl", r"mpl (?:1 1|2 0)"),
+    ("netscape", 45, 90, "netscape", r"netscape public licen[cs]e"),
+    ("epl", 50, 95, "accompanying", r"this program and the accompanying materials are made available under the terms of the eclipse"),
+    ("epl", 20, 70, "epl", r"epl (?:1 0|2 0)"),
+    ("cddl-1.0", 50, 95, "contents", r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cddl-1.0", 50, 90, "cddl", r"include this cddl header in a conspicuous location"),
+    ("ibm-pl", 45, 90, "ibm", r"ibm public licen[cs]e"),
+    ("eupl", 45, 95, "eupl", r"licen[cs]ed under the eupl"),
+    ("eupl", 20, 70, "eupl", r"eupl(?: v)?(?: 1 [012])?"),
+    ("cecill", 45, 90, "cecill", r"cecill(?: [bc])?(?: licen[cs]e)?"),
+    ("artistic", 50, 90, "package", r"the intent of this document is to state the conditions under which a package may be copied"),
+    ("perl", 45, 95, "perl", r"under the same terms as perl itself"),
+    ("ruby", 45, 95, "ruby", r"under the same terms as ruby(?: itself)?"),
+    ("ruby", 20, 80, "ruby", r"ruby licen[cs]e"),
+    ("zlib", 50, 95, "misrepresented", r"the origin of this software must not be misrepresented"),
+    ("zlib", 50, 95, "plainly", r"altered source versions must be plainly marked as such"),
+    ("zlib", 50, 95, "altered", r"this notice may not be removed or altered from any source distribution"),
+    ("zlib", 45, 90, "held", r"in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("libpng", 50, 95, "png", r"the png reference library is supplied as is"),
+    ("psf", 50, 95, "psf", r"psf is making python available to licensee on an as is basis"),
+    ("psf", 45, 90, "beopen", r"beopen(?: com)?(?: python open source)? licen[cs]e agreement"),
+    ("psf", 45, 90, "cnri", r"cnri (?:open source )?licen[cs]e(?: agreement)?"),
+    ("php", 50, 95, "php", r"this product includes php software freely available from"),
+    ("ofl", 50, 95, "font", r"this font software is licensed under the sil open font license"),
+    ("ofl", 45, 85, "font", r"with reserved font names?"),
+    ("odc-by", 45, 95, "commons", r"open data commons attribution licen[cs]e"),
+    ("pddl", 45, 95, "dedication", r"(?:open data commons )?public domain dedication and licen[cs]e"),
     ("unlicense", 50, 100, "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("unlicense", 50, 95, "compile", r"anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("wtfpl", 55, 95, "changing", r"verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
+    ("cc0", 50, 95, "waived", r"has waived all copyright and related or neighbou?ring rights"),
+    ("cc0", 45, 95, "publicdomain", r"creativecommons org publicdomain zero 1 0"),
+    ("cc-by", 45, 95, "creativecommons", r"creativecommons org licen[cs]es by [1234] [05]"),
+    ("cc-by-sa", 45, 95, "creativecommons", r"creativecommons org licen[cs]es by sa [1234] [05]"),
+    ("cc-by-nc", 45, 95, "creativecommons", r"creativecommons org licen[cs]es by nc [1234] [05]"),
+    ("cc-by-nd", 45, 95, "creativecommons", r"creativecommons org licen[cs]es by nd [1234] [05]"),
+    ("cc-by-nc-sa", 45, 95, "creativecommons", r"creativecommons org licen[cs]es by nc sa [1234] [05]"),
+    ("cc-by-nc-nd", 45, 95, "creativecommons", r"creativecommons org licen[cs]es by nc nd [1234] [05]"),
+    ("cc-by", 25, 80, "cc", r"cc by(?: [1234] [05])?"),
+    ("cc-by-sa", 25, 85, "cc", r"cc by sa(?: [1234] [05])?"),
+    ("cc-by-nc", 25, 85, "cc", r"cc by nc(?: [1234] [05])?"),
+    ("cc-by-nd", 25, 85, "cc", r"cc by nd(?: [1234] [05])?"),
+    ("cc-by-nc-sa", 30, 85, "cc", r"cc by nc sa(?: [1234] [05])?"),
+    ("cc-by-nc-nd", 30, 85, "cc", r"cc by nc nd(?: [1234] [05])?"),
+    ("cc-by", 45, 90, "credit", r"you must give appropriate credit provide a link to the licen[cs]e and indicate if changes were made"),
+    ("cc-by-sa", 45, 90, "remix", r"if you remix transform or build upon the material you must distribute your contributions under the same licen[cs]e"),
+    ("cc-by-nc", 45, 90, "commercial", r"you may not use the material for commercial purposes"),
+    ("ms-pl", 45, 85, "bear", r"the software is licensed as is you bear the risk of using it"),
+    ("ms-rl", 45, 95, "reciprocal", r"microsoft reciprocal licen[cs]e"),
+    ("rpl", 45, 95, "reciprocal", r"reciprocal public licen[cs]e"),
+    ("openssl", 50, 95, "openssl", r"this product includes software developed by the openssl project"),
+    ("ssleay", 50, 95, "cryptographic", r"this product includes cryptographic software written by"),
+    ("beerware", 50, 95, "beer", r"if we meet some day and you think this stuff is worth it you can buy me a beer"),
+    ("beerware", 30, 85, "beerware", r"(?:the )?beerware licen[cs]e"),
+    ("json", 50, 95, "evil", r"the software shall be used for good not evil"),
+    ("unicode", 45, 90, "unicode", r"unicode(?: inc)? licen[cs]e(?: agreement)?"),
+    ("icu", 45, 90, "icu", r"icu licen[cs]e"),
+    ("ncsa", 45, 95, "illinois", r"university of illinois(?: ncsa)? open source licen[cs]e"),
+    ("afl", 45, 95, "academic", r"academic free licen[cs]e(?: version [123](?: [01])?)?"),
+    ("osl", 40, 90, "open", r"open software licen[cs]e(?: version [123](?: [01])?)?"),
+    ("ecl-2.0", 45, 95, "educational", r"educational community licen[cs]e(?: version [12] 0)?"),
+    ("lppl", 45, 95, "latex", r"latex project public licen[cs]e"),
+    ("sleepycat", 45, 95, "sleepycat", r"sleepycat licen[cs]e"),
+    ("sleepycat", 50, 90, "accompanied", r"redistributions in any form must be accompanied by information on how to obtain complete source code"),
+    ("w3c", 45, 95, "w3c", r"w3c(?: r)? software(?: and document)? notice and licen[cs]e"),
+    ("zpl", 45, 95, "zope", r"zope public licen[cs]e(?: version)?(?: [12] [01])?"),
+    ("openldap", 45, 95, "openldap", r"openldap public licen[cs]e"),
+    ("postgresql", 45, 95, "postgresql", r"postgresql licen[cs]e"),
+    ("curl", 45, 95, "curl", r"curl licen[cs]e"),
+    ("mulan-psl", 45, 95, "mulan", r"mulan (?:psl|permissive software licen[cs]e)(?: v2| version 2)?"),
+    ("apsl", 45, 95, "apple", r"apple public source licen[cs]e"),
+    ("watcom", 45, 95, "watcom", r"sybase open watcom public licen[cs]e"),
+    ("lucent-pl", 45, 95, "lucent", r"lucent public licen[cs]e"),
+    ("spl", 45, 95, "sun", r"sun public licen[cs]e"),
+    ("sissl", 45, 95, "industry", r"sun industry standards source licen[cs]e"),
+    ("eiffel", 45, 95, "eiffel", r"eiffel forum licen[cs]e"),
+    ("aal", 45, 95, "assurance", r"attribution assurance licen[cs]e"),
+    ("upl", 45, 95, "permissive", r"universal permissive licen[cs]e(?: v 1 0| version 1 0)?"),
+    ("blueoak", 45, 95, "oak", r"blue oak model licen[cs]e"),
+    ("cern-ohl", 45, 95, "hardware", r"cern open hardware licen[cs]e"),
+    ("ftl", 45, 95, "freetype", r"freetype (?:project )?licen[cs]e"),
+    ("ijg", 45, 90, "jpeg", r"this software is based in part on the work of the independent jpeg group"),
+    ("imagemagick", 45, 95, "imagemagick", r"imagemagick licen[cs]e"),
+    ("busl-1.1", 45, 95, "business", r"business source licen[cs]e(?: 1 1)?"),
+    ("elastic", 45, 95, "elastic", r"elastic licen[cs]e(?: 2 0| v2)?"),
+    ("commons-clause", 45, 95, "clause", r"commons clause licen[cs]e condition"),
+    ("polyform", 45, 95, "polyform", r"polyform (?:noncommercial|small business|strict|shield|perimeter) licen[cs]e"),
+    ("confluent", 45, 95, "confluent", r"confluent community licen[cs]e"),
+    ("openrail", 45, 95, "rail", r"(?:creativeml |bigscience |bigcode )?open rail(?: m)?(?: licen[cs]e)?"),
+    ("llama", 45, 95, "llama", r"llama(?: [234])? community licen[cs]e(?: agreement)?"),
+    ("gemma", 45, 95, "gemma", r"gemma terms of use"),
     ("public-domain", 40, 90, "public", r"(?:released|placed|dedicated|put) (?:in|into|to) the public domain"),
+    ("public-domain", 40, 90, "public", r"this (?:work|file|software|code) is in the public domain"),
     ("public-domain", 20, 60, "public", r"public domain"),
-    ("zlib", 50, 95, "misrepresented", r"the origin of this software must not be misrepresented"),
+    ("public-domain", 40, 85, "protection", r"(?:is )?not subject to copyright protection"),
+    ("public-domain", 35, 80, "government", r"work of the (?:united states|u s|us) government"),
+    ("public-domain", 30, 80, "rights", r"no rights reserved"),
     ("proprietary", 30, 80, "reserved", r"all rights reserved"),
     ("proprietary", 40, 90, "proprietary", r"proprietary and confidential"),
+    ("proprietary", 40, 90, "confidential", r"confidential and proprietary"),
+    ("proprietary", 45, 95, "disassemble", r"(?:reverse engineer )?decompile or disassemble"),
+    ("proprietary", 40, 90, "prohibited", r"unauthori[sz]ed (?:copying|use|reproduction|distribution)(?: \S+){0,8} is strictly prohibited"),
+    ("proprietary", 40, 90, "sold", r"(?:this software|the software|software) is licensed not sold"),
+    ("proprietary", 35, 85, "user", r"end user licen[cs]e agreement"),
+    ("proprietary", 30, 80, "internal", r"for internal use only"),
+    ("proprietary", 40, 90, "materials", r"licensed materials property of"),
+    ("proprietary", 40, 90, "legend", r"restricted rights legend"),
+    ("proprietary", 35, 85, "disclosure", r"non disclosure agreement"),
+    ("proprietary", 35, 85, "secrets", r"contains trade secrets"),
+    ("evaluation", 35, 85, "evaluation", r"(?:for evaluation (?:purposes )?only|evaluation licen[cs]e)"),
+    ("shareware", 30, 80, "shareware", r"shareware"),
+    ("freeware", 30, 75, "freeware", r"freeware"),
+    ("non-commercial", 35, 85, "noncommercial", r"for noncommercial (?:use|purposes) only"),
+    ("non-commercial", 35, 85, "non", r"for non commercial (?:use|purposes) only"),
     ("copyleft", 20, 60, "copyleft", r"copyleft"),
     ("warranty-disclaimer", 30, 70, "warranties", r"without warranties or conditions of any kind"),
     ("warranty-disclaimer", 30, 70, "warranty", r"provided as is without warranty of any kind"),
+    ("warranty-disclaimer", 30, 70, "merchantability", r"without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("patent-grant", 30, 75, "patent", r"royalty free (?:irrevocable )?patent licen[cs]e"),
+    ("contributor-agreement", 30, 80, "contributor", r"(?:individual |corporate )?contributor licen[cs]e agreement"),
+    ("contributor-agreement", 30, 80, "certificate", r"developer(?: s)? certificate of origin"),
+    ("dual-licence", 25, 75, "dual", r"(?:is )?dual licen[cs]ed"),
     ("copyright", 10, 40, "copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}"),
+    ("copyright", 10, 40, "copyright", r"copyright notice"),
 )
 
 #: Identifiers after an SPDX tag.
-SPDX = ("mit", "apache 2 0", "gpl 2 0", "gpl 3 0", "lgpl 2 1", "lgpl 3 0", "agpl 3 0", "bsd 2 clause", "bsd 3 clause", "isc", "mpl 2 0", "epl 2 0", "unlicense", "cc0 1 0", "zlib", "0bsd")
+SPDX = (
+    "mit", "mit 0", "apache 1 1", "apache 2 0", "gpl 1 0", "gpl 2 0", "gpl 3 0", "lgpl 2 0", "lgpl 2 1", "lgpl 3 0", "agpl 3 0", "bsd 2 clause", "bsd 3 clause", "bsd 4 clause", "0bsd", "isc", "mpl 1 1", "mpl 2 0",
+    "epl 1 0", "epl 2 0", "cddl 1 0", "eupl 1 2", "unlicense", "wtfpl", "cc0 1 0", "cc by 4 0", "cc by sa 4 0", "zlib", "libpng", "bsl 1 0", "busl 1 1", "sspl 1 0", "artistic 2 0", "ofl 1 1", "odbl 1 0", "postgresql", "psf 2 0", "ncsa", "ms pl", "vim",
+)
 
 
 @dataclass(frozen=True)
