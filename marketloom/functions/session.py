@@ -82,3 +82,9 @@ def session_bounds(ts: Column) -> tuple[Column, Column]:
 
 def add_session_columns(df: DataFrame, ts: str = "event_ts") -> DataFrame:
     return df.withColumns({"session_phase": session_phase(F.col(ts)), "minutes_since_open": minutes_since_open(F.col(ts)), "session_date": trade_date(F.col(ts))})
+
+
+def clipped_zone(ts: Column, first: Column, last: Column) -> tuple[Column, Column]:
+    """session_bounds within the data's own first and last time."""
+    start, end = session_bounds(ts)
+    return F.greatest(start, first), F.least(end, last)

@@ -261,14 +261,22 @@ def fit_logistic(df: DataFrame, columns: list[str], label: str, classes: list, l
     return Logistic(columns, classes, scaler, w)
 
 
+def _logit(c: Column) -> Column:
+    clipped = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), c))
+    return F.log(clipped / (1 - clipped))
+
+
+def fit_platt_line(df: DataFrame, p: str, y: str, l2: float = 1e-3) -> tuple[float, float]:
+    """(slope, offset) of a logistic recalibration of a probability's logit."""
+    model = fit_logistic(df.withColumn("_logit", _logit(F.col(p))).withColumn("_label", (F.col(y) >= 0.5).cast("int")), ["_logit"], "_label", [1, 0], l2)
+    slope = float(model.weights[0, 0] / model.scaler.std[0])
+    return slope, float(model.weights[0, 1] - slope * model.scaler.mean[0])
+
+
 def fit_platt(df: DataFrame, p: str, y: str, l2: float = 1e-3) -> Callable[[Column], Column]:
     """Logistic recalibration of a probability; returns a column function."""
-    clipped = lambda c: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), c))
-    logit = lambda c: F.log(clipped(c) / (1 - clipped(c)))
-    model = fit_logistic(df.withColumn("_logit", logit(F.col(p))).withColumn("_label", (F.col(y) >= 0.5).cast("int")), ["_logit"], "_label", [1, 0], l2)
-    slope = float(model.weights[0, 0] / model.scaler.std[0])
-    offset = float(model.weights[0, 1] - slope * model.scaler.mean[0])
-    return lambda c: 1 / (1 + F.exp(-(logit(c) * slope + offset)))
+    slope, offset = fit_platt_line(df, p, y, l2)
+    return lambda c: 1 / (1 + F.exp(-(_logit(c) * slope + offset)))
 
 
 def fit_temperature(df: DataFrame, model: Logistic, label: str, grid: np.ndarray | None = None) -> Logistic:
@@ -288,6 +296,80 @@ def fit_temperature(df: DataFrame, model: Logistic, label: str, grid: np.ndarray
     return Logistic(model.columns, model.classes, model.scaler, model.weights, best)
 
 
+@dataclass(frozen=True)
+class GroupedLogistic:
+    """One binary model a group: weights over raw features with the intercept last; groups without both classes have none."""
+
+    columns: list[str]
+    group: str
+    weights: dict[str, np.ndarray]
+
+    def transform(self, df: DataFrame, out: str = "p_hat") -> DataFrame:
+        """Adds the probability of each row's group; null where the group has no model."""
+        spark = df.sparkSession
+        table = spark.createDataFrame([(g, [float(v) for v in w]) for g, w in sorted(self.weights.items())], f"{self.group} string, _w array<double>")
+        x = F.array(*[F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")).otherwise(0.0) for c in self.columns], F.lit(1.0))
+        rows = df.join(F.broadcast(table), self.group, "left")  # a row a model
+        z = F.aggregate(F.zip_with(x, F.col("_w"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        return rows.withColumn(out, 1 / (1 + F.exp(-z))).drop("_w")
+
+
+def fit_logistic_groups(df: DataFrame, group: str, columns: list[str], label: str, l2: float = 1.0, rounds: int = 25, tolerance: float = 1e-8, least: int = 8) -> GroupedLogistic:
+    """A binary L2 Newton fit for every group at once: each round is one pass over all rows, whatever the number of groups.
+
+    Groups (folds by outcomes) are listed on the driver.  Features are scaled by
+    each group's own rows; the intercept is not penalised.  Groups of fewer than
+    `least` rows or with one class get no model.
+    """
+    rows = df.where(F.col(label).isNotNull() & F.col(group).isNotNull())
+    counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) > 0.5).alias("k")).where((F.col("n") >= least) & (F.col("k") > 0) & (F.col("k") < F.col("n"))).collect()
+    names = sorted(r[group] for r in counts)
+    if not names or not columns:
+        return GroupedLogistic(columns, group, {})
+    spark = df.sparkSession
+    codes = spark.createDataFrame(list(zip(names, map(float, range(len(names))), strict=True)), f"{group} string, _g double")
+    data = matrix(rows.join(F.broadcast(codes), group).withColumn("_y", (F.col(label) > 0.5).cast("double")), [*columns, "_y", "_g"]).cache()
+    d, size = len(columns), len(names)
+
+    def each(batch: np.ndarray, width: int, work: Callable[[int, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        out = np.zeros((size, width))
+        code = batch[:, -1].astype(int)
+        for g in np.unique(code):
+            own = batch[code == g]
+            out[g] = work(int(g), own[:, :d], own[:, d])
+        return out.ravel()
+
+    try:
+        total = vector_sum(data, "x", lambda b: each(b, 2 * d + 1, lambda _, x, y: np.r_[len(x), x.sum(axis=0), (x * x).sum(axis=0)])).reshape(size, -1)
+        mean = total[:, 1 : d + 1] / total[:, :1]
+        std = np.sqrt(np.maximum(total[:, d + 1 :] / total[:, :1] - mean**2, 0))
+        std[std <= 1e-8] = 1.0
+        w = np.zeros((size, d + 1))
+        live = np.ones(size, dtype=bool)
+        for _ in range(rounds):
+
+            def part(g: int, x: np.ndarray, y: np.ndarray, w: np.ndarray = w, live: np.ndarray = live) -> np.ndarray:
+                if not live[g]:
+                    return np.zeros((d + 1) * (d + 2))
+                z = np.column_stack(((x - mean[g]) / std[g], np.ones(len(x))))
+                p = 1 / (1 + np.exp(-np.clip(z @ w[g], -60, 60)))
+                return np.concatenate((z.T @ (p - y), ((z * (p * (1 - p))[:, None]).T @ z).ravel()))
+
+            total = vector_sum(data, "x", lambda b, part=part: each(b, (d + 1) * (d + 2), part)).reshape(size, -1)
+            w, live = w.copy(), live.copy()
+            penalty = np.r_[np.full(d, l2), 0.0]
+            for g in np.flatnonzero(live):
+                step = np.linalg.lstsq(total[g, d + 1 :].reshape(d + 1, d + 1) + np.diag(penalty + 1e-9), total[g, : d + 1] + penalty * w[g], rcond=None)[0]
+                w[g] -= np.clip(step, -5, 5)
+                live[g] = np.abs(step).max() >= tolerance
+            if not live.any():
+                break
+    finally:
+        data.unpersist()
+    slope = w[:, :-1] / std
+    return GroupedLogistic(columns, group, {n: np.r_[slope[g], w[g, -1] - slope[g] @ mean[g]] for g, n in enumerate(names)})
+
+
 # ---- resampling
 
 

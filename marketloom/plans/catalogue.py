@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import behavior_queries, book_queries, model_queries, relational_queries, research_queries, tape_queries
+from . import behavior_queries, book_queries, model_queries, relational_queries, research_queries, science_queries, tape_queries
 
-MODULES = (tape_queries, book_queries, relational_queries, model_queries, behavior_queries, research_queries)
+MODULES = (tape_queries, book_queries, relational_queries, model_queries, behavior_queries, research_queries, science_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 for _module in MODULES:

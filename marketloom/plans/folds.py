@@ -6,6 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Time slices that running counts are taken in.
+SLICES = 1024
+
+
+def running_counts(counts: DataFrame, ts: str, n: str = "_n") -> DataFrame:
+    """ts, n, `until` (running sum of n by time) and `all`, from distinct times.
+
+    Times fall into at most SLICES equal slices; sums of slices are added up
+    first, then times inside their own slice, so no task sorts all times.
+    """
+    span = counts.agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
+    # one row, and at most SLICES + 1 rows
+    placed = counts.crossJoin(F.broadcast(span)).withColumn("_slice", F.floor((F.col(ts) - F.col("_lo")) / ((F.col("_hi") - F.col("_lo") + 1) / SLICES))).drop("_lo", "_hi")
+    sums = placed.groupBy("_slice").agg(F.sum(n).alias("_own"))
+    offsets = sums.select("_slice", (F.sum("_own").over(Window.orderBy("_slice")) - F.col("_own")).alias("_offset"), F.sum("_own").over(Window.partitionBy()).alias("all"))
+    inside = placed.join(F.broadcast(offsets), "_slice")
+    return inside.select(ts, n, (F.col("_offset") + F.sum(n).over(Window.partitionBy("_slice").orderBy(ts))).alias("until"), "all")
+
+
 def purged_walk_forward(df: DataFrame, ts: str, n_splits: int, embargo: int = 0, purge: int = 0, least_train: int = 1, order: list[str] | None = None) -> DataFrame:
     """df's rows for each fold that they are in, with fold and role.
 
@@ -13,13 +32,13 @@ def purged_walk_forward(df: DataFrame, ts: str, n_splits: int, embargo: int = 0,
     (the last takes the rest) and trains on rows before it that are earlier than
     its first time, at least `embargo` earlier, and not among the last `purge`
     rows.  Rows of one time never stand on both sides.  Positions come from
-    counts by distinct time plus an offset inside it, not from one global sort.
+    running counts by time slice plus an offset inside a time, not from one global sort.
     """
     if n_splits < 1 or embargo < 0 or purge < 0:
         raise ValueError("n_splits must be at least 1; embargo and purge not negative")
     order = order or [c for c in df.columns if c != ts]
     counts = df.groupBy(ts).agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.select(ts, (F.sum("_n").over(Window.orderBy(ts)) - F.col("_n")).alias("_first"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    starts = running_counts(counts, ts).select(ts, (F.col("until") - F.col("_n")).alias("_first"), F.col("all").alias("_all"))
     rows = df.join(starts, ts).withColumn("_i", F.col("_first") + F.row_number().over(Window.partitionBy(ts).orderBy(*order)) - 1)
     block = F.call_function("div", F.col("_all"), F.lit(n_splits + 1))
     rows = rows.withColumn("_size", block).where("_size >= 1")
@@ -50,9 +69,58 @@ def month_folds(df: DataFrame, ts: str, least_months: int = 4, embargo: int = 0)
 
 def frozen_holdout(df: DataFrame, ts: str, share: float = 0.2) -> DataFrame:
     """Adds cut_ts and is_holdout: the last share of rows by time, never splitting one time."""
-    counts = df.groupBy(ts).agg(F.count(F.lit(1)).alias("n"))
-    runs = counts.select(ts, F.sum("n").over(Window.orderBy(ts)).alias("until"), F.sum("n").over(Window.partitionBy()).alias("all"), F.lead(ts).over(Window.orderBy(ts)).alias("after"), F.lag(ts).over(Window.orderBy(ts)).alias("before"))
+    counts = df.groupBy(ts).agg(F.count(F.lit(1)).alias("_n"))
     cut = F.least(F.greatest(F.floor(F.col("all") * (1 - share)), F.lit(1)), F.col("all") - 1)
-    first = runs.where(F.col("until") >= cut).agg(F.min_by(F.struct(F.col(ts), "after", "before"), F.col(ts)).alias("x"))
-    cut_ts = first.select(F.when(F.col("x.after").isNull(), F.coalesce("x.before", F.col(f"x.{ts}"))).otherwise(F.col(f"x.{ts}")).alias("cut_ts"))
+    first = running_counts(counts, ts).where(F.col("until") >= cut).agg(F.min(ts).alias("_x"))
+    around = counts.crossJoin(F.broadcast(first)).groupBy("_x").agg(F.max(F.when(F.col(ts) < F.col("_x"), F.col(ts))).alias("before"), F.max(ts).alias("last"))
+    cut_ts = around.select(F.when(F.col("last") > F.col("_x"), F.col("_x")).otherwise(F.coalesce("before", "_x")).alias("cut_ts"))
     return df.crossJoin(F.broadcast(cut_ts)).withColumn("is_holdout", F.col(ts) > F.col("cut_ts"))
+
+
+def segment_keys(df: DataFrame, ts: str, instrument: str | None = "instrument_id") -> DataFrame:
+    """Adds segment_month and segment_contract (SINGLE without an instrument)."""
+    contract = F.col(instrument).cast("string") if instrument and instrument in df.columns else F.lit("SINGLE")
+    return df.withColumns({"segment_month": month_of(ts), "segment_contract": contract})
+
+
+def holdout_by_months(df: DataFrame, ts: str, months: int) -> DataFrame:
+    """Adds cut_ts (the last time before the holdout) and is_holdout: the last `months` calendar months that occur."""
+    if months < 1:
+        raise ValueError("a holdout has at least one month")
+    rows = df.withColumn("_month", month_of(ts))
+    known = rows.groupBy("_month").agg(F.max(ts).alias("_last")).withColumn("_k", F.row_number().over(Window.orderBy(F.col("_month").desc())))  # one row a month
+    if known.where(F.col("_k") > months).limit(1).count() == 0:
+        raise ValueError(f"fewer than {months + 1} months")
+    cut = known.where(F.col("_k") > months).agg(F.max("_last").alias("cut_ts"))
+    return rows.drop("_month").crossJoin(F.broadcast(cut)).withColumn("is_holdout", F.col(ts) > F.col("cut_ts"))
+
+
+def setup_folds(df: DataFrame, ts: str, n_splits: int = 3, embargo: int = 0, purge: int = 1, least_train: int = 12) -> DataFrame:
+    """df's rows for each fold that their setup time is in: folds are cut over distinct times, so all rows of one time share a side."""
+    times = purged_walk_forward(df.select(ts).distinct(), ts, n_splits, embargo, purge, least_train, order=[ts])
+    return df.join(times, ts).select(*df.columns, "fold", "role")
+
+
+def contract_aware(df: DataFrame, ts: str, instrument: str = "instrument_id", **options: int) -> DataFrame:
+    """setup_folds with `segment`: time stays what separates the sides; several contracts are only named, not left out in turn."""
+    n = df.agg(F.count_distinct(instrument).alias("_n"))
+    rows = setup_folds(df, ts, **options).crossJoin(F.broadcast(n))  # one row
+    return rows.withColumn("segment", F.when(F.col("_n") > 1, F.concat(F.lit("time_multi_instrument("), F.col("_n"), F.lit(")"))).otherwise("time")).drop("_n")
+
+
+def fold_table(folded: DataFrame, ts: str) -> DataFrame:
+    """One row a fold: rows and times of both sides."""
+    of = lambda role: F.when(F.col("role") == role, F.col(ts))
+    return folded.groupBy("fold").agg(F.count_if(F.col("role") == "train").alias("train_n"), F.count_if(F.col("role") == "test").alias("test_n"), F.max(of("train")).alias("train_end_ts"), F.min(of("test")).alias("test_start_ts"), F.max(of("test")).alias("test_end_ts"))
+
+
+def calibration_tail(train: DataFrame, ts: str, share: float = 0.2, least_train: int = 10, least_tail: int = 5) -> DataFrame:
+    """Adds part: 'cal' for the last share of distinct times (a third at most), else 'fit'; all 'fit' where either would be too small."""
+    counts = train.groupBy(ts).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_counts(counts.withColumn("_one", F.lit(1)), ts, "_one").join(counts, ts)
+    size = F.least(F.greatest(F.lit(1), F.round(F.col("all") * share)), F.call_function("div", F.col("all"), F.lit(3)))
+    tail = ranked.withColumn("_cal", F.col("until") > F.col("all") - size)
+    whole = tail.agg(F.sum("_n").alias("_rows"), F.sum(F.when(F.col("_cal"), F.col("_n"))).alias("_tail"))
+    use = F.col("_cal") & (F.col("_rows") >= least_train) & (F.coalesce("_tail", F.lit(0)) >= least_tail) & F.lit(share > 0)
+    parts = tail.crossJoin(F.broadcast(whole)).select(ts, F.when(use, "cal").otherwise("fit").alias("part"))  # one row
+    return train.join(parts, ts).select(*train.columns, "part")
