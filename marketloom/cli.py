@@ -5,6 +5,10 @@
     python -m marketloom.cli check PATH
     python -m marketloom.cli report --data DIR --out FILE
     python -m marketloom.cli research PATH --lead ID --follow ID --out DIR [--config FILE]
+    python -m marketloom.cli strategy PATH --name auction|failed_breakout|failed_gap --lead ID --follow ID --out DIR [--config FILE]
+    python -m marketloom.cli days PATH --out DIR [--interval NS]
+    python -m marketloom.cli behavior PATH --out DIR [--science]
+    python -m marketloom.cli period DIR --out DIR
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import ship
 from .operators import research
-from .plans import catalogue, unified
+from .plans import behavior_run, catalogue, strategies, unified
 from .sources import mbo
 
 
@@ -53,6 +57,24 @@ def main(argv: list[str] | None = None) -> int:
     res.add_argument("--follow", type=int, required=True)
     res.add_argument("--out", required=True)
     res.add_argument("--config")
+    plan = sub.add_parser("strategy")
+    plan.add_argument("path")
+    plan.add_argument("--name", choices=sorted(strategies.FOCUS), required=True)
+    plan.add_argument("--lead", type=int, required=True)
+    plan.add_argument("--follow", type=int, required=True)
+    plan.add_argument("--out", required=True)
+    plan.add_argument("--config")
+    days = sub.add_parser("days")
+    days.add_argument("path")
+    days.add_argument("--out", required=True)
+    days.add_argument("--interval", type=int, default=60_000_000_000)
+    beh = sub.add_parser("behavior")
+    beh.add_argument("path")
+    beh.add_argument("--out", required=True)
+    beh.add_argument("--science", action="store_true")
+    per = sub.add_parser("period")
+    per.add_argument("path")
+    per.add_argument("--out", required=True)
     args = parser.parse_args(argv)
     if args.command == "list":
         print("\n".join(sorted(catalogue.QUERIES)))
@@ -64,6 +86,20 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "research":
         cfg = unified.RunConfig.read(args.config) if args.config else unified.RunConfig()
         print("\n".join(unified.run(spark, mbo.read(spark, args.path), args.lead, args.follow, args.out, cfg).values()))
+    elif args.command == "strategy":
+        cfg = strategies.StrategyConfig(run=unified.RunConfig.read(args.config) if args.config else unified.RunConfig(), strategy=args.name)
+        print("\n".join(strategies.run(spark, mbo.read(spark, args.path), args.lead, args.follow, args.out, cfg).values()))
+    elif args.command == "days":
+        print("\n".join(strategies.run_days(spark, mbo.read(spark, args.path), args.out, args.interval).values()))
+    elif args.command == "behavior":
+        made = behavior_run.analyse(mbo.read(spark, args.path), out_dir=args.out)
+        tables = {"states": made.states(), "events": made.events, "rates": made.rates, "sessions": made.sessions, "scenarios": made.scenarios}
+        paths = behavior_run.write_tables(spark, tables, args.out, "Behaviour analysis")
+        if args.science:
+            paths |= behavior_run.write_science(spark, behavior_run.run_science(made.blended), f"{args.out}/science")
+        print("\n".join(paths.values()))
+    elif args.command == "period":
+        print("\n".join(behavior_run.run_period(spark, args.path, args.out).values()))
     elif args.command == "report":
         with open(args.out, "w", encoding="utf-8") as out:
             out.write(_report(spark, args.data))

@@ -21,8 +21,8 @@ def spearman(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
     """Rank correlation with average ranks per key over complete pairs; 0 where it is undefined."""
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
     ranked = pairs.select(*keys, average_rank(x, *keys).alias("_x"), average_rank(y, *keys).alias("_y"))
-    value = F.corr("_x", "_y")
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.when(~F.isnan(value), value), F.lit(0.0)).alias("ic"))
+    value = F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y"))  # corr() itself fails on constant ranks
+    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)), F.lit(0.0)).alias("ic"))
 
 
 def anova_f(df: DataFrame, value: str, group: str) -> DataFrame:

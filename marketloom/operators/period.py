@@ -135,6 +135,31 @@ def layers(df: DataFrame, selected: str, forward: str, n: int = 100, seed: int =
     return stats.adjust(table, "p", "bh") if out else table.withColumns({"adjusted": F.lit(None).cast("double"), "reject": F.lit(None).cast("boolean")})
 
 
+def depth_counterfactual(df: DataFrame, selected: str, forward: str, n: int = 100, seed: int = 0, order: str = TS) -> DataFrame | None:
+    """One row: IC of a signal with and without its depth gate on the same rows, their difference, and its p-value when the gate is permuted in blocks; None without a depth gate."""
+    parts = selected.split("__depth__")
+    if len(parts) != 2 or parts[0] not in df.columns or selected not in df.columns:
+        return None
+    rows: pd.DataFrame = df.select(order, forward, selected, parts[0]).orderBy(order).toPandas()  # a clock of bars out of sample
+    y, gated, plain = (rows[c].to_numpy(float) for c in (forward, selected, parts[0]))
+    gate = (gated != 0).astype(float)
+    observed = ic(gated, y) - ic(plain, y)
+    null = models.resample(df.sparkSession, n, lambda rng: ic(plain * models.block_permutation(gate, rng), y) - ic(plain, y), seed)
+    p = null.agg(((F.count_if(F.abs("value") >= abs(observed)) + 1) / (n + 1)).alias("p")).first()[0]
+    return df.sparkSession.createDataFrame([(ic(gated, y), ic(plain, y), observed, float(p))], "ic_with double, ic_without double, delta_ic double, p double")
+
+
+def state_link(df: DataFrame, signal: str, states: list[str]) -> DataFrame:
+    """Per state column: rank correlation of its size with the signal's size over complete rows."""
+    long = df.select(F.abs(F.col(signal).cast("double")).alias("_s"), *[F.abs(F.col(c).cast("double")).alias(c) for c in states]).unpivot(["_s"], states, "state", "z")
+    return stats.spearman(long, "z", "_s", ["state"])
+
+
+def out_of_sample(folded: DataFrame, ts: str = TS) -> DataFrame:
+    """Times that stand in a test block of some fold."""
+    return folded.where("role = 'test'").select(ts).distinct()
+
+
 class FrozenHoldout:
     """A holdout that may be scored once."""
 

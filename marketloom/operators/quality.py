@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections import deque
 from dataclasses import dataclass
+from operator import mul
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .book import EVENT
+from .book import EVENT, Side
 from .ordered import Machine, Rows, replay
 from .tape import KEY, add_time_bucket
 
@@ -127,30 +128,37 @@ class _Deception(Machine):
         self.live: dict[int, list] = {}  # added at, price, side, size, modifies, touched
         self.at: dict[int, set[int]] = {}
         self.done: set[int] = set()
-        self.levels: dict[str, dict[int, int]] = {"B": {}, "A": {}}
-
-    def _level(self, side: str, price: int, step: int) -> None:
-        if side in self.levels:
-            own = self.levels[side]
-            own[price] = own.get(price, 0) + step
-            if own[price] <= 0:
-                del own[price]
+        self.sides = {"B": Side(-1), "A": Side(1)}  # live orders by price, best first
 
     def _far(self, price: int) -> bool:
-        bids, asks = self.levels["B"], self.levels["A"]
-        return bool(bids and asks) and abs(price - (max(bids) + min(asks)) / 2) / TICK >= self.r.spoof_ticks
+        bid, ask = (self.sides[s].best() for s in "BA")
+        return bid is not None and ask is not None and abs(price - (bid[0] + ask[0]) / 2) / TICK >= self.r.spoof_ticks
 
     def _leave(self, oid: int) -> list | None:
         known = self.live.pop(oid, None)
         if known is not None:
-            self.at.get(known[1], set()).discard(oid)
-            self._level(known[2], known[1], -1)
+            here = self.at.get(known[1], set())
+            here.discard(oid)
+            if not here:
+                self.at.pop(known[1], None)
+            if known[2] in self.sides:
+                self.sides[known[2]].take(known[1], 1)
         return known
 
     def _enter(self, oid: int, record: list) -> None:
         self.live[oid] = record
         self.at.setdefault(record[1], set()).add(oid)
-        self._level(record[2], record[1], 1)
+        if record[2] in self.sides:
+            self.sides[record[2]].add(record[1], 1)
+
+    def _withdrawn(self, ts: int, oid: int) -> tuple[float, float, float, float]:
+        """What a cancel says of its order: gone at once, large and far and gone soon, moved often, passed over by trades at its price."""
+        if oid not in self.live or oid in self.done:
+            return 0.0, 0.0, 0.0, 0.0
+        r, (added, price, _, size, moves, passed) = self.r, self.live[oid]
+        life = ts - added
+        large_far = size >= r.spoof_size and life <= r.spoof_ns and self._far(price)
+        return float(life <= r.short_ns), float(large_far), float(moves >= r.bait_modifies), float(passed)
 
     def _score(self, ts: int, action: str, side: str, price: int, size: int, oid: int) -> tuple:
         r, w = self.r, self.w
@@ -174,17 +182,10 @@ class _Deception(Machine):
             if known[4] + 1 >= r.bait_modifies and oid not in self.done:
                 return w[2], 0.0, 0.0, 1.0, 0.0, 0.0, False
         elif action == "C":
-            known = self.live.get(oid)
-            short = spoof = bait = idle = 0.0
-            if known is not None and oid not in self.done:
-                age = ts - known[0]
-                short = float(age <= r.short_ns)
-                spoof = float(known[3] >= r.spoof_size and age <= r.spoof_ns and self._far(known[1]))
-                bait = float(known[4] >= r.bait_modifies)
-                idle = float(known[5])
+            signs = (*self._withdrawn(ts, oid), float(storm))
             self._leave(oid)
-            flags = (short, spoof, bait, idle, float(storm))
-            score = min(1.0, sum(x * y for x, y in zip(w, flags, strict=True)))
+            score = min(1.0, sum(map(mul, w, signs)))
+            short, spoof, bait, idle, _ = signs
             return score, spoof, short, bait, idle, float(storm), score >= r.drop_score
         return 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, False
 

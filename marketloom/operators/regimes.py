@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .models import vector_sum
 from .ordered import Machine, Rows, replay
 from .ticks import FEATURES
 
@@ -23,12 +25,29 @@ def heuristic_phase(in_value: Column, trail_bid: Column, trail_ask: Column) -> C
     return F.when(in_value > 0.5, BALANCE).when(F.abs(trail_bid - trail_ask) > 0.5, EXPANSION).otherwise(NEUTRAL)
 
 
+def phase_map(centers: np.ndarray, in_value: int = 2, trail_bid: int = 6, trail_ask: int = 7) -> dict[int, int]:
+    """Phase of each k-means centre: balance where most time is inside value, expansion where most depth trails among the others, else neutral."""
+    phases = dict.fromkeys(range(len(centers)), NEUTRAL)
+    calm = int(np.argmax(centers[:, in_value]))
+    phases[calm] = BALANCE
+    trailing = np.delete(np.arange(len(centers)), calm)
+    if len(trailing):
+        phases[int(trailing[np.argmax(centers[trailing, trail_bid] + centers[trailing, trail_ask])])] = EXPANSION
+    return phases
+
+
+def masked_error(back: np.ndarray, windows: np.ndarray, masks: np.ndarray) -> float:
+    """Mean over windows of the mean squared error on their hidden cells; windows without one do not count."""
+    errors = [float(((b - x)[m] ** 2).mean()) for b, x, m in zip(back, windows, masks, strict=True) if m.any()]
+    return float(np.mean(errors)) if errors else 0.0
+
+
 class _Tracker(Machine):
     """k-means on the last `window` rows, fitted every `every` rows and used from then on."""
 
     def __init__(self, columns: list[str], k: int, every: int, window: int, least: int, seed: int) -> None:
         self.columns, self.k, self.every, self.window, self.least, self.seed = columns, k, every, window, least, seed
-        self.past: list[list[float]] = []
+        self.past: deque[list[float]] = deque(maxlen=window)
         self.seen, self.centers = 0, None
 
     def _fit(self) -> np.ndarray:
@@ -43,7 +62,7 @@ class _Tracker(Machine):
         out = []
         for row in zip(*(rows[c] for c in self.columns), strict=True):
             v = [0.0 if x is None or not np.isfinite(x) else float(x) for x in row]
-            self.past = [*self.past, v][-self.window :] if len(self.past) >= self.window else [*self.past, v]
+            self.past.append(v)
             self.seen += 1
             if self.seen >= max(self.least, self.k) and self.seen % self.every == 0:
                 self.centers = self._fit()
@@ -81,6 +100,48 @@ def structural_mask(window: np.ndarray, trap: bool, phase: int, names: tuple[str
     return mask
 
 
+def tick_folds(windows: DataFrame, order: str = "availability_ts", splits: int = 3, components: int = 4, purge: int = 0) -> DataFrame:
+    """Per fold: error on structurally masked cells of test windows, rebuilt from the training windows' axes.
+
+    windows: order, window, trap, phase.  Moments of the training part are sums
+    over rows, and test windows are scored where they lie: no task holds a fold.
+    """
+    from ..plans.folds import purged_walk_forward
+
+    flat = windows.select(order, "trap", "phase", F.col("window").alias("w"))
+    folded = purged_walk_forward(flat.withColumn("id", F.xxhash64("w", "trap", "phase")), order, splits, purge=purge, order=["id"]).drop("id")
+    spark, out = windows.sparkSession, []
+    for fold in range(1, splits + 1):
+        own = folded.where(F.col("fold") == fold)
+        rows = own.where("role = 'train'").select(F.flatten("w").alias("x"))
+        got = vector_sum(rows, "x", lambda x: np.concatenate(([len(x)], x.sum(axis=0), (x.T @ x).ravel())))
+        if got is None:
+            continue
+        d = int(round((-1 + (1 + 4 * (len(got) - 1)) ** 0.5) / 2))
+        n, mean = got[0], got[1 : d + 1] / got[0]
+        cov = got[d + 1 :].reshape(d, d) / n - np.outer(mean, mean)
+        std = np.where(np.diag(cov) <= 1e-16, 1.0, np.sqrt(np.maximum(np.diag(cov), 0)))
+        axes = np.linalg.eigh(cov / np.outer(std, std))[1][:, ::-1][:, :components].T
+
+        def run(batches: Iterator[pd.DataFrame], mean: np.ndarray = mean, std: np.ndarray = std, axes: np.ndarray = axes) -> Iterator[pd.DataFrame]:
+            total, count = 0.0, 0
+            for batch in batches:
+                for w, trap, phase in zip(batch["w"], batch["trap"], batch["phase"], strict=True):
+                    x = np.array([np.asarray(r, dtype=float) for r in w])
+                    mask = structural_mask(x, bool(trap), int(phase))
+                    if mask.any():
+                        z = (x.ravel() - mean) / std
+                        back = (np.where(mask.ravel(), 0.0, z) @ axes.T) @ axes
+                        total, count = total + float(((back - z)[mask.ravel()] ** 2).mean()), count + 1
+            yield pd.DataFrame({"total": [total], "n": [count]})
+
+        out.append(own.where("role = 'test'").select("w", "trap", "phase").mapInPandas(run, "total double, n bigint").agg(F.lit(fold).alias("fold"), F.sum("n").alias("n_windows"), F.when(F.sum("n") > 0, F.sum("total") / F.sum("n")).otherwise(0.0).alias("masked_mse")))
+    table = out[0] if out else spark.createDataFrame([], "fold int, n_windows bigint, masked_mse double")
+    for part in out[1:]:
+        table = table.unionByName(part)
+    return table
+
+
 def masked_windows(windows: DataFrame, names: tuple[str, ...] = FEATURES) -> DataFrame:
     """Adds masked_window and n_masked to rows with window, trap and phase columns."""
     kept = windows.columns

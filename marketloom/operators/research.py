@@ -7,7 +7,8 @@ signals (a clock of bars, thousands of rows) as arrays and returns one row.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -134,7 +135,7 @@ def screen(frame: DataFrame, signals: list[str], forward: str, order: str = "ava
         ok = np.isfinite(x) & np.isfinite(y)
         x, y = x[ok], y[ok]
         observed = ic(x, y)
-        rng = np.random.default_rng((seed, abs(hash(len(x))) % (1 << 31)))
+        rng = np.random.default_rng((seed, zlib.crc32(str(rows["signal"].iloc[0]).encode())))
         null = np.array([ic(models.block_permutation(x, rng), y) for _ in range(n)]) if len(x) >= 8 else np.zeros(n)
         pnl = x * y
         sharpe = float(pnl.mean() / pnl.std(ddof=1)) if len(pnl) > 1 and pnl.std(ddof=1) > 0 else 0.0
@@ -240,6 +241,20 @@ def coverage(spark: SparkSession, features: pd.DataFrame, descriptors: pd.DataFr
     return spark.createDataFrame([(a, float(v), p, bool(t), severity.get(a, "medium")) for a, v, p, t in rows], "metric string, value double, pvalue double, triggered boolean, severity string")
 
 
+#: Named blocks of feature columns (fixed names).
+BLOCKS = {
+    "price": ("c", "range", "forward_return"), "flow": ("volume", "delta", "buy_volume", "sell_volume"), "depth": ("path_imbalance", "path_imbalance_delta", "path_pressure", "low_imbalance", "queue_pressure", "iceberg_hit"),
+    "auction": ("is_balanced", "is_expansion", "in_value_fraction", "decision_poc", "decision_vah", "decision_val"), "signals": ("vp_fsm_break", "vp_fsm_retest", "vp_fsm_expand", "absorb", "look_fail", "early_imbalance", "fail_breakout"),
+    "cross_market": ("lead_lag", "trap_setup", "divergence", "confirmation_failure"),
+}
+
+
+def block_columns(columns: list[str], blocks: dict[str, tuple[str, ...]] = BLOCKS) -> dict[str, list[str]]:
+    """Columns of each block that a frame has; blocks without one are left out."""
+    found = {name: [c for c in own if c in columns] for name, own in blocks.items()}
+    return {name: own for name, own in found.items() if own}
+
+
 # ---- self-supervision over windows
 
 
@@ -334,9 +349,47 @@ def report(title: str, store: EvidenceStore, findings: list[Finding], alpha: flo
 
 
 def day_seed(seed: int, day: str) -> int:
-    """A stable seed for a day's tasks."""
-    import hashlib
-
-    return int.from_bytes(hashlib.blake2b(f"{seed}:{day}".encode()).digest()[:8], "big") % (2**31 - 1)
-
-
+    """A seed for a day's tasks: the checksum of both."""
+    return zlib.crc32(f"{day}/{seed}".encode())
+
+
+class Assistant:
+    """Turns tests into evidence and claims; `write` may pass the verified claims to a caller's own text function."""
+
+    def __init__(self, spark: SparkSession, store: EvidenceStore | None = None, alpha: float = 0.05, narrate: Callable[[str], str] | None = None) -> None:
+        self.spark, self.store, self.alpha, self.narrate = spark, store or EvidenceStore(), alpha, narrate
+
+    def _register(self, metric: str, value: float, pvalue: float | None, version: str) -> str:
+        name = f"{metric}:{len(self.store.items)}"
+        self.store.add(Evidence(name, metric, float(value), pvalue, version))
+        return name
+
+    def compare_regimes(self, values: np.ndarray, labels: np.ndarray, metric: str = "value", n: int = 200, seed: int = 0, version: str = "v1") -> Finding:
+        """Whether a metric differs between regimes, by the F statistic under block-permuted labels."""
+        from .evaluation import regime_difference
+
+        r = regime_difference(self.spark, values, labels, n, seed).first()
+        return Finding(f"{metric} differs between regimes", (self._register(f"f_{metric}", r.f_stat, float(r.pvalue), version),))
+
+    def assess_signal(self, returns: np.ndarray, name: str, n: int = 200, seed: int = 0, version: str = "v1") -> Finding:
+        """Whether a signal's returns have a mean, by random signs; the evidence is the Sharpe ratio."""
+        r = np.asarray(returns, float)
+        observed = abs(r.mean())
+        null = models.resample(self.spark, n, lambda rng: float((rng.choice((-1.0, 1.0), len(r)) * r).mean()), seed)
+        p = (null.agg(F.count_if(F.abs("value") >= observed)).first()[0] + 1) / (n + 1)
+        sharpe = float(r.mean() / r.std(ddof=1)) if len(r) > 1 and r.std(ddof=1) > 0 else 0.0
+        return Finding(f"{name} has returns of its own", (self._register(f"sharpe_{name}", sharpe, float(p), version),))
+
+    def hypothesis(self, claim: str, evidence: list[Evidence], needs_significance: bool = True) -> Finding:
+        """A claim on evidence, which is registered once."""
+        for e in evidence:
+            if e.id not in self.store.items:
+                self.store.add(e)
+        return Finding(claim, tuple(e.id for e in evidence), needs_significance)
+
+    def write(self, findings: list[Finding], title: str = "Research report") -> str:
+        text = report(title, self.store, findings, self.alpha)
+        if self.narrate is None:
+            return text
+        good = "\n".join(f.claim for f in findings if self.store.verify(f, self.alpha))
+        return f"{text}\n## Narrative\n\n{self.narrate(good)}\n"

@@ -178,7 +178,7 @@ def run_science(b: DataFrame, cfg: ScienceConfig | None = None, story: list[str]
     cfg = cfg or ScienceConfig()
     labeled = settled(labels_of(b, cfg, story))
     carved = folds.holdout_by_months(labeled, SETUP, cfg.holdout_months) if cfg.holdout_months else folds.frozen_holdout(labeled, SETUP, cfg.holdout_share)
-    develop, held = carved.where("NOT is_holdout"), carved.where("is_holdout")
+    develop, held = (carved.where(w).drop("cut_ts", "is_holdout") for w in ("NOT is_holdout", "is_holdout"))
     features = evaluation.features_by_family(develop, cfg.most_features)
     if cfg.month_folds:
         folded = folds.month_folds(develop, SETUP, cfg.least_months, cfg.embargo).drop("test_month")

@@ -12,7 +12,8 @@ from ..functions import stats
 from ..operators import models
 from .tape_queries import tidy
 
-AXES = [f"e{i}" for i in range(16)]
+#: All components of an embedding.
+AXES = [f"e{i}" for i in range(64)]
 
 
 def _axes(s: SparkSession, d: str) -> DataFrame:
@@ -44,9 +45,9 @@ def kmeans(s: SparkSession, d: str) -> DataFrame:
 
 def ridge(s: SparkSession, d: str) -> DataFrame:
     rows = _axes(s, d)
-    model = models.fit_ridge(rows.where("vec_id % 5 <> 0"), AXES[:8], ["e8"], 1.0)
-    mean = rows.where("vec_id % 5 <> 0").agg(F.avg("e8")).first()[0]
-    return tidy(models.r2(model.transform(rows.where("vec_id % 5 = 0")), "e8", "e8_hat", mean))
+    model = models.fit_ridge(rows.where("vec_id % 5 <> 0"), AXES[:-1], ["e63"], 1.0)
+    mean = rows.where("vec_id % 5 <> 0").agg(F.avg("e63")).first()[0]
+    return tidy(models.r2(model.transform(rows.where("vec_id % 5 = 0")), "e63", "e63_hat", mean))
 
 
 def _series(s: SparkSession, d: str) -> np.ndarray:

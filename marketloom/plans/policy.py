@@ -2,14 +2,33 @@
 
 from __future__ import annotations
 
+import random
 import tomllib
 from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Canonical time columns, and the causal order of events (fixed names).
+EVENT_TIME, INGEST_TIME, SEQUENCE, AVAILABILITY = "event_ts", "ingest_ts", "sequence", "availability_ts"
+CAUSAL_ORDER = (EVENT_TIME, SEQUENCE)
+
+
+def in_nanoseconds(last: float) -> bool:
+    """Whether a largest time is in nanoseconds since 1970 (from 1970-01-02 on)."""
+    return last >= 1e14
+
+
+def seeded(seed: int) -> np.random.Generator:
+    """Seeds Python's and numpy's shared generators and gives one of its own; Spark columns take the seed as rand(seed)."""
+    random.seed(seed)
+    np.random.seed(seed % (1 << 32))
+    return np.random.default_rng(seed)
+
+
 SECTION = ("split_strategy", "embargo_ns", "horizon", "interval_ns", "profile_interval_ns")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,29 @@ CONTRACT = T.StructType(
 )
 
 
+@dataclass(frozen=True)
+class Event:
+    """One event for fixtures and single checks; frames are checked by `validate`."""
+
+    event_ts: int
+    ingest_ts: int
+    sequence: int
+    instrument_id: int
+    symbol: str
+    action: str
+    side: str
+    price: int
+    size: int
+    order_id: int
+    flags: int = 0
+
+    def __post_init__(self) -> None:
+        if self.ingest_ts < self.event_ts:
+            raise ValueError("known before it happened")
+        if self.size < 0 or self.action not in ACTIONS or self.side not in SIDES:
+            raise ValueError(f"no such event: {self.action!r}, {self.side!r}, {self.size}")
+
+
 def contract_counts(df: DataFrame) -> DataFrame:
     """One row of contract breaches by kind, and the number of rows."""
     bad = lambda c: F.count_if(F.coalesce(c, F.lit(True)))
