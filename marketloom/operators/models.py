@@ -423,14 +423,30 @@ def bootstrap_ci(spark: SparkSession, x: np.ndarray, n: int = 1000, ci: float =
     return resample(spark, n, draw, seed).agg(q.alias("q")).select(F.get("q", F.lit(0)).alias("low"), F.lit(float(statistic(x))).alias("point"), F.get("q", F.lit(1)).alias("high"))
 
 
-def distance_correlation(x: np.ndarray, y: np.ndarray, most: int = 256) -> float:
-    """Distance correlation of evenly spaced samples of two series."""
-    at = np.linspace(0, len(x) - 1, min(len(x), most)).astype(int)
+def _distance_means(v: np.ndarray) -> np.ndarray:
+    """Mean distance of each value to all, by sorting."""
+    order = np.argsort(v, kind="stable")
+    w = v[order]
+    sums, i, n = np.concatenate(([0.0], np.cumsum(w))), np.arange(len(w)), len(w)
+    out = np.empty(n)
+    out[order] = (w * i - sums[i] + (sums[n] - sums[i + 1]) - w * (n - i - 1)) / n
+    return out
 
-    def centred(v: np.ndarray) -> np.ndarray:
-        d = np.abs(v[:, None] - v[None, :])
-        return d - d.mean(axis=0) - d.mean(axis=1)[:, None] + d.mean()
 
-    a, b = centred(np.asarray(x, float)[at]), centred(np.asarray(y, float)[at])
-    spread = np.sqrt((a * a).mean() * (b * b).mean())
-    return float(np.sqrt(max((a * b).mean(), 0) / spread)) if spread > 0 else 0.0
+def distance_correlation(x: np.ndarray, y: np.ndarray, most: int | None = None, block: int = 512) -> float:
+    """Distance correlation of two series, over all pairs in blocks of rows; with `most`, of that many evenly spaced points."""
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    if most and len(x) > most:
+        at = np.linspace(0, len(x) - 1, most).astype(int)
+        x, y = x[at], y[at]
+    if not len(x):
+        return 0.0
+    rows_x, rows_y = _distance_means(x), _distance_means(y)
+    xy = xx = yy = 0.0
+    for at in range(0, len(x), block):
+        own = slice(at, at + block)
+        a = np.abs(x[own, None] - x[None, :]) - rows_x[own, None] - rows_x[None, :] + rows_x.mean()
+        b = np.abs(y[own, None] - y[None, :]) - rows_y[own, None] - rows_y[None, :] + rows_y.mean()
+        xy, xx, yy = xy + float((a * b).sum()), xx + float((a * a).sum()), yy + float((b * b).sum())
+    spread = np.sqrt(xx * yy)
+    return float(np.sqrt(max(xy, 0.0) / spread)) if spread > 0 else 0.0

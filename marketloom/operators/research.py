@@ -181,12 +181,12 @@ def walk_forward_select(frame: DataFrame, signals: list[str], forward: str, orde
 # ---- coverage of event-level information by features
 
 
-def information_gap(features: np.ndarray, descriptors: np.ndarray, returns: np.ndarray, axes: int = 16) -> float:
-    """Largest distance correlation of a descriptor with returns less that of a feature, over the axes of most spread."""
+def information_gap(features: np.ndarray, descriptors: np.ndarray, returns: np.ndarray, axes: int = 16, points: int = 256) -> float:
+    """Largest distance correlation of a descriptor with returns less that of a feature, over the axes of most spread and evenly spaced points (both bounds are parameters)."""
 
     def best(m: np.ndarray) -> float:
         order = np.sort(np.argsort(-m.std(axis=0))[:axes])
-        return max((models.distance_correlation(m[:, j], returns) for j in order), default=0.0)
+        return max((models.distance_correlation(m[:, j], returns, points) for j in order), default=0.0)
 
     return best(descriptors) - best(features)
 

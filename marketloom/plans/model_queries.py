@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import models
+from .sql import rounded
 from .tape_queries import tidy
 
 #: All components of an embedding.
@@ -59,7 +60,7 @@ def _series(s: SparkSession, d: str) -> np.ndarray:
 
 def dcor(s: SparkSession, d: str) -> DataFrame:
     x = _series(s, d)
-    return s.createDataFrame([(models.distance_correlation(x[:-1], x[1:]), models.distance_correlation(x, x))], "lagged double, own double")
+    return tidy(s.createDataFrame([(models.distance_correlation(x[:-1], x[1:]), models.distance_correlation(x, x))], "lagged double, own double"))
 
 
 def permutation(s: SparkSession, d: str) -> DataFrame:
@@ -105,4 +106,8 @@ def ablation(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pca": pca, "kmeans": kmeans, "ridge": ridge, "dcor": dcor, "permutation_p": permutation, "bootstrap_ci": bootstrap, "logistic_l2": logistic, "competing_risk": competing, "platt": platt, "ablation": ablation}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "dcor": rounded("""WITH h AS (SELECT date_trunc('hour', ts) AS h, avg(value) AS v FROM events GROUP BY 1), s AS (SELECT h, v AS x, lead(v) OVER (ORDER BY h) AS y FROM h), r AS (SELECT row_number() OVER (ORDER BY h) AS i, x, y FROM s WHERE y IS NOT NULL),
+d AS (SELECT a.i AS i, b.i AS j, abs(a.x - b.x) AS a, abs(a.y - b.y) AS b FROM r a, r b), c AS (SELECT a - avg(a) OVER (PARTITION BY i) - avg(a) OVER (PARTITION BY j) + avg(a) OVER () AS a, b - avg(b) OVER (PARTITION BY i) - avg(b) OVER (PARTITION BY j) + avg(b) OVER () AS b FROM d)
+SELECT sqrt(greatest(avg(a * b), 0) / sqrt(avg(a * a) * avg(b * b))) AS lagged, 1.0::DOUBLE AS own FROM c""", "lagged", "own")
+}
