@@ -484,3 +484,24 @@ def _(s: SparkSession, d: str) -> DataFrame:
     long = rows.select("doc_id", *FEATURES, F.lit("quality").alias("outcome_name"), F.col("quality").alias("y")).unionByName(rows.select("doc_id", *FEATURES, F.lit("toxic").alias("outcome_name"), F.col("toxic").alias("y")))
     model = models.fit_logistic_groups(long.where("doc_id % 4 <> 0"), "outcome_name", FEATURES, "y")
     return model.transform(long.where("doc_id % 4 = 0")).select("doc_id", "outcome_name", "y", "p_hat")
+
+
+@_add("streaming_frame")
+def _(s: SparkSession, d: str) -> DataFrame:
+    from ..streaming.research import research_frame
+
+    f = research_frame(source.events_as_mbo(s, d), 1, 2, H1)
+    return f.select("availability_ts", "session_date", "a_mid", "b_mid", "a_return", "b_return", "a_delta", "b_delta", "trap_setup", "phase_balance", "phase_expansion")
+
+
+@_add("ssl_tick_folds")
+def _(s: SparkSession, d: str) -> DataFrame:
+    from ..operators import regimes, ticks
+    from .relational_queries import sequences
+
+    t = ticks.tick_stream(source.events_as_mbo(s, d), 1, 2, H1).withColumn("pair", F.lit(1))
+    w = sequences(t, list(ticks.FEATURES), 4, 2, ["pair"], ["availability_ts"])
+    at = {n: i for i, n in enumerate(ticks.FEATURES)}
+    last = lambda n: F.get(F.get("window", F.lit(3)), F.lit(at[n]))
+    phase = regimes.heuristic_phase(last("in_value"), last("trail_bid"), last("trail_ask"))
+    return regimes.tick_folds(w.withColumns({"trap": last("trap_setup") > 0, "phase": phase}).drop("pair"), splits=2, purge=2)
