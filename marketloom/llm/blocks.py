@@ -6,7 +6,7 @@ relate words or passages across the corpus exchange rows (hash, block, value):
 each block sends one row for every distinct hash it has, rows of one hash are
 combined before they meet (a map-side sum or minimum), and the combined value
 is joined back to the rows, so that each block gets one row for each hash that
-concerns it.  Rows follow the distinct values of the blocks, whatever the number
+it shares with another.  Rows follow the distinct values of the blocks, whatever the number
 of blocks, and no task ever holds all rows of a hash: the combined side has one
 row a hash, and the other side of the join spills and may be split.
 
@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_groups, trimmed, written
+from .arrow import discard, map_groups, trimmed, written
 from .words import slices
 
 BLOCK_BYTES = 4 << 20
@@ -130,9 +130,18 @@ def _receiver(work: Callable[[int, Block, np.ndarray, np.ndarray], Iterator[pa.R
 
 
 def replies(sent: DataFrame, total: Column, needed: Column) -> DataFrame:
-    """(block, hash, value): each sent row with its hash's `total` over all blocks, where `needed` (of sent, own value, and total) holds."""
-    totals = sent.groupBy("hash").agg(total.alias("total"))
-    return sent.join(totals, "hash").where(needed).select("block", "hash", F.col("total").alias("value"))
+    """(block, hash, value): each sent row of a hash that several blocks have, with its `total` over them, where `needed` (of own value and total) holds.
+
+    What a block alone has it knows itself.  Totals and replies are written
+    tables, so that only one step's shuffle files lie on disk at a time; `sent`
+    is dropped once they are.
+    """
+    spark, plain = sent.sparkSession, {"compression": "uncompressed"}
+    totals = written(sent.groupBy("hash").agg(total.alias("total"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "total"), plain)
+    found = written(sent.join(totals, "hash").where(needed).select("block", "hash", F.col("total").alias("value")), plain)
+    discard(spark, totals)
+    discard(spark, sent)
+    return found
 
 
 __all__ = ["Block", "Blocks", "expand", "replies", "squeeze"]

@@ -56,13 +56,18 @@ def _distinct(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return values, where, np.concatenate(documents)
 
 
+def training_counts(block: Block, values: np.ndarray, where: np.ndarray, document: np.ndarray, held: Callable[[int], bool]) -> np.ndarray:
+    """Counts of a block's distinct words in its training documents."""
+    training = np.array([not held(int(i)) for i in block.ids])
+    return np.bincount(where, training[document], len(values)).astype(np.int64) if len(values) else np.empty(0, dtype=np.int64)
+
+
 def send_words(held: Callable[[int], bool]) -> Callable[[Block], tuple[np.ndarray, np.ndarray]]:
     """Distinct words of a block with their counts in training documents."""
 
     def work(block: Block) -> tuple[np.ndarray, np.ndarray]:
-        values, where, document = _distinct(block)
-        training = np.array([not held(int(i)) for i in block.ids])
-        return values, np.bincount(where, training[document], len(values)) if len(values) else np.empty(0)
+        found = _distinct(block)
+        return found[0], training_counts(block, *found, held)
 
     return work
 
@@ -161,7 +166,7 @@ def score_documents(
     def finish(block: Block, own: np.ndarray, found: np.ndarray) -> Iterator[pa.RecordBatch]:
         values, where, document = _distinct(block)
         n = len(block.ids)
-        counts = np.zeros(len(values), dtype=np.int64)
+        counts = training_counts(block, values, where, document, held)  # of words that no other block has
         counts[np.searchsorted(values, own)] = found
         logs = np.log10((counts + 0.1) / floor)
         base = np.bincount(document, logs[where], n) + np.log10((ends + 0.1) / floor)
@@ -173,4 +178,4 @@ def score_documents(
             names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    return blocks.receive(replies(sent, F.sum("value"), F.col("total") > 0), finish, f"`{key}` {blocks.kept[0][1]}, {SCORED}")
+    return blocks.receive(replies(sent, F.sum("value"), F.col("total") > F.col("value")), finish, f"`{key}` {blocks.kept[0][1]}, {SCORED}")

@@ -6,7 +6,7 @@ window whose words also start in a document with a smaller id go.
 Anchors are shorter runs of words, hashed only at positions that a difference
 cover modulo a period contains.  Of any two equal windows some offset below the
 period puts both on cover positions, so every repeated window holds an anchor
-that both documents share.  Pass one exchanges anchors between blocks of text;
+that both documents share.  Pass one finds the anchors that several blocks of text have;
 pass two extends shared anchors to all windows around them and exchanges those
 windows' hashes with their smallest document; pass three removes what a smaller
 document holds.  Each pass sends one row for each distinct value of a block,
@@ -111,20 +111,19 @@ def _smallest(hashes: np.ndarray, documents: np.ndarray) -> tuple[np.ndarray, np
 
 
 def send_anchors(shape: Shape) -> Callable[[Block], tuple[np.ndarray, np.ndarray]]:
-    """Distinct anchors of a block: 2 where two of its documents have it, else 1."""
+    """Distinct anchors of a block."""
 
     def work(block: Block) -> tuple[np.ndarray, np.ndarray]:
-        text = Text(block)
-        at, hashes = text.anchors(shape)
-        low, smallest = _smallest(hashes, block.ids[text.document[at]])
-        _, largest = _smallest(hashes, -block.ids[text.document[at]])
-        return low, 1 + (smallest != -largest)
+        own = np.unique(Text(block).anchors(shape)[1])
+        return own, np.ones(len(own), dtype=np.int64)
 
     return work
 
 
 def send_windows(shape: Shape) -> Callable[[Block, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """Windows around shared anchors, with the block's smallest document of each."""
+    """Windows around anchors that other blocks have, with the block's smallest document of each.
+
+    Repeats inside the block need no exchange: `covered` sees them."""
 
     def work(block: Block, shared: np.ndarray, _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(shared):
@@ -227,10 +226,9 @@ def remove_repeats(
     kept = [c for c in dict.fromkeys([key, *(keep or [])]) if c not in (*names, "n_words", "n_removed")]
     blocks = Blocks(docs, key, text, kept)
     plain = {"compression": "uncompressed"}
-    anchors = written(blocks.send(send_anchors(shape)), plain)
-    shared = replies(anchors, F.sum("value"), F.col("total") > 1)
+    shared = replies(written(blocks.send(send_anchors(shape)), plain), F.sum("value"), F.lit(True))
     windows = written(blocks.receive_and_send(shared, send_windows(shape)), plain)
-    discard(docs.sparkSession, anchors)
+    discard(docs.sparkSession, shared)
 
     def finish(block: Block, far: np.ndarray, least: np.ndarray) -> Iterator[pa.RecordBatch]:
         own, gone = covered(block, far, least, shape)
