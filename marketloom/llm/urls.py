@@ -161,7 +161,9 @@ def judge(df: DataFrame, rules: list[tuple[str, str]], key: str = "page_id", url
     labelled = parsed.withColumn("said", verdict).where("said IS NOT NULL")
     counted = labelled.groupBy(F.substring_index("host", ".", -1).alias("suffix")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("said") == "block").alias("blocked")).collect()
     suffixes = {r.suffix: (r.n, (r.blocked + 1) / (r.n + 2)) for r in counted}
-    chosen = labelled.select("url", "host", "path", "said").distinct().orderBy(F.xxhash64("url", F.lit(seed)), "url").limit(sample).collect()
+    kinds = labelled.agg(F.approx_count_distinct("url").alias("n")).first().n
+    near = F.pmod(F.xxhash64("url", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, 2 * sample / max(kinds, 1)) * (1 << 30))  # few more than needed reach the driver
+    chosen = labelled.where(near).select("url", "host", "path", "said").distinct().orderBy(F.pmod(F.xxhash64("url", F.lit(seed)), F.lit(1 << 30)), "url").limit(sample).collect()
     rows = [(r.url, r.host, r.path) for r in chosen]
     y = np.array([r.said == "block" for r in chosen], dtype=np.float64)
     x = np.array([features(*r, suffixes) for r in rows], dtype=np.float64).reshape(len(rows), len(FEATURES))
