@@ -2,9 +2,9 @@
 
 A text's words (A-Z lower-cased, runs of digits, a-z and non-ASCII) are joined
 by single spaces, and rules are regular expressions over that line.  Rules are
-gated twice by keywords, single words one of which stands in every match of a
-rule: a text without any of them is not normalised at all, and a rule runs only
-where its own occur.  Detections are word intervals
+gated by keywords, single words one of which stands in every match of a rule: a
+text's words are intersected with all keywords once, the line is built only
+where one occurs, and a rule runs only where its own do.  Detections are word intervals
 with a priority; one that lies inside an earlier-starting or longer interval
 of at least its own priority is suppressed.  Everything happens in the row, so
 no text is shuffled and no key can be hot.
@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RAW_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Base phrases and labels (fixed values of the contract).
@@ -362,34 +361,29 @@ def _suppressed(found: Column, levels: list[int]) -> Column:
     return F.aggregate(F.array_sort(found), start, step, lambda acc: acc["kept"])
 
 
-def normalised(text: Column) -> Column:
-    """' word word ... ' of the lower-cased words; a single space if there are none."""
-    words = F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
-    return _let(words, lambda w: F.when(F.size(w) == 0, F.lit(" ")).otherwise(F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))))
+def words_of(text: Column) -> Column:
+    """The lower-cased words of a text, in order."""
+    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
 
 
 def scan(df: DataFrame, keep: list[str], text: str = "text", base: tuple[tuple[str, str], ...] = BASE) -> DataFrame:
     """keep, n_words, base matches and the detections that survive suppression."""
     table = rules()
     levels = sorted({r.priority for r in table})
-    literal = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(r.label).alias("label"), F.lit(r.kind).alias("kind"), F.lit(r.priority).alias("priority"), F.lit(r.percent).alias("percent"), F.array(*[F.lit(k) for k in r.keywords.split()]).alias("gates"), F.lit(r.pattern).alias("pattern")) for i, r in enumerate(table)])
-    words = sorted({k for r in table for k in r.keywords.split()})
+    literal = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(r.label).alias("label"), F.lit(r.kind).alias("kind"), F.lit(r.priority).alias("priority"), F.lit(r.percent).alias("percent"), F.lit(r.pattern).alias("pattern")) for i, r in enumerate(table)])
+    owners: dict[str, list[int]] = {}
+    for i, r in enumerate(table):
+        for k in r.keywords.split():
+            owners.setdefault(k, []).append(i)
+    ranks = F.create_map(*[x for k, own in sorted(owners.items()) for x in (F.lit(k), F.array(*[F.lit(i) for i in own]))])
     # a base phrase is gated by a word of its own, one that is a keyword already if there is one
-    gates = sorted({*words, *(min(p.split(), key=lambda w: (w not in words, -len(w))) for p, _ in base)})
-    raw = F.coalesce(F.col(text), F.lit(""))
-    folded = F.lower(raw)
-
-    def any_gate(t: Column) -> Column:
-        out = F.lit(False)
-        for gate in gates:
-            out = out | t.contains(gate)
-        return out
+    gates = sorted({*owners, *(min(p.split(), key=lambda w: (w not in owners, -len(w))) for p, _ in base)})
 
     phrase = " (?:" + "|".join(p for p, _ in base) + ")(?= )"
 
-    def found(line: Column) -> Column:
-        present = F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(line, F.concat(F.lit(" "), w, F.lit(" "))))
-        hits = _let(present, lambda own: F.filter(literal, lambda r: F.arrays_overlap(r["gates"], own)))
+    def found(line: Column, present: Column) -> Column:
+        mine = F.flatten(F.transform(present, lambda k: F.coalesce(ranks[k], F.array().cast("array<int>"))))
+        hits = F.transform(F.array_sort(F.array_distinct(mine)), lambda i: F.get(literal, i))
         each = F.transform(hits, lambda r: F.transform(_spans(line, r), lambda s: F.struct(s["first"].alias("first"), (-s["last"]).alias("down"), (-r["priority"]).alias("up"), r["rank"].alias("rank"), r["label"].alias("label"), r["kind"].alias("kind"), r["priority"].alias("priority"), r["percent"].alias("percent"), s["last"].alias("last"))))
         places = F.size(F.regexp_extract_all(line, F.lit(phrase), F.lit(0)))
         labels = F.array_compact(F.array(*[F.when(F.contains(line, F.lit(f" {p} ")), F.lit(name)) for p, name in base]))
@@ -401,5 +395,11 @@ def scan(df: DataFrame, keep: list[str], text: str = "text", base: tuple[tuple[s
             labels.alias("base_labels"),
         )
 
-    result = F.when(any_gate(folded), _let(normalised(raw), found))
-    return df.select(*keep, F.regexp_count(raw, F.lit(RAW_WORD)).cast("bigint").alias("n_words"), result.alias("scan"))
+    def of(words: Column) -> Column:
+        line = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+        present = F.array_intersect(F.array(*[F.lit(g) for g in gates]), words)
+        scanned = _let(present, lambda own: F.when(F.size(own) > 0, _let(line, lambda x: found(x, own))))
+        return F.struct(F.size(words).cast("bigint").alias("n_words"), scanned.alias("scan"))
+
+    made = _let(words_of(F.coalesce(F.col(text), F.lit(""))), of)
+    return df.select(*keep, made.alias("_made")).select(*keep, F.col("_made.n_words").alias("n_words"), F.col("_made.scan").alias("scan"))
