@@ -304,10 +304,10 @@ def _swept(px: str, sz: str) -> str:
 _FILLED = f"WITH {_LADDER}, p AS (SELECT *, coalesce({_swept('a', 'v')}, top_ask + 0.125) AS buy, coalesce({_swept('b', 'u')}, top_bid - 0.125) AS sell FROM d)"
 
 
-@_add("depth_returns", rounded(_FILLED + ", q AS (SELECT *, lead(buy, 2) OVER w AS buy2, lead(sell, 2) OVER w AS sell2 FROM p WINDOW w AS (PARTITION BY instrument_id ORDER BY o_orderdate, o_orderkey)) SELECT o_orderkey, (sell2 - buy) / buy - 0.0001 AS long_return, (sell - buy2) / sell - 0.0001 AS short_return FROM q", "long_return", "short_return", digits=9))
+@_add("depth_returns", rounded(_FILLED + ", q AS (SELECT *, lead(buy, 2) OVER w AS buy2, lead(sell, 2) OVER w AS sell2 FROM p WINDOW w AS (PARTITION BY instrument_id ORDER BY o_orderdate, o_orderkey)) SELECT o_orderkey, (sell2 - buy) / buy - 0.0001 AS long_return, (sell - buy2) / sell - 0.0001 AS short_return FROM q", "long_return", "short_return"))
 def _(s: SparkSession, d: str) -> DataFrame:
     r = execution.depth_returns(_ladder(s, d), 2, 4, ["instrument_id"], ["o_orderdate", "o_orderkey"], 3, "top_bid", "top_ask", commission_bps=1.0)
-    return r.select("o_orderkey", F.round("long_return", 9).alias("long_return"), F.round("short_return", 9).alias("short_return"))
+    return r.select("o_orderkey", "long_return", "short_return")
 
 
 @_add("ladder_sizes", f"WITH {_LADDER} SELECT o_orderkey, CAST(CASE WHEN v2 > 0 THEN v2 ELSE 0 END AS BIGINT) AS ask_second, 0::BIGINT AS nowhere, CAST((u1 > 0)::INT + (u2 > 0)::INT + (u3 > 0)::INT AS INT) AS bid_levels FROM d")
