@@ -458,23 +458,6 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return frames.rate_summary(a.rates, a.blended).withColumn("p", F.to_json("p"))
 
 
-def _science(s: SparkSession, d: str):  # noqa: ANN202
-    from . import behavior_run
-
-    b = _analysis(s, d).blended
-    return behavior_run.run_science(b, behavior_run.ScienceConfig(window=4, n_splits=2, holdout_share=0.2, most_features=8))
-
-
-@_add("behavior_predictions")
-def _(s: SparkSession, d: str) -> DataFrame:
-    return _science(s, d).oof
-
-
-@_add("behavior_live")
-def _(s: SparkSession, d: str) -> DataFrame:
-    return _science(s, d).live
-
-
 @_add("grouped_logistic")
 def _(s: SparkSession, d: str) -> DataFrame:
     """Both labels of every document, fitted at once; compared with separate fits in the tests."""
