@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from marketloom.operators import auction, behavior, book, quality, tape, ticks
+from marketloom.operators import auction, behavior, book, ordered, quality, tape, ticks
 from marketloom.sources import mbo
 
 from .conftest import SF
@@ -185,3 +186,60 @@ def test_realized_paths_and_events(spark):
     assert behavior.path_binaries(behavior.realized_paths(df, ["instrument_id", "story_date"], window=2), ["instrument_id"]).count() == 6
     events = behavior.behavior_events(df, ["instrument_id", "story_date"], window=1).orderBy("availability_ts").collect()
     assert [e.evt_breakout for e in events] == [0, 1, 0, 0, 0] and [e.evt_failed_breakout for e in events] == [0, 0, 0, 1, 0]
+
+
+def plain_deception(events):
+    """Scores by visiting every resting order at each trade; (score, passed over) of each event."""
+    r = quality.DeceptionRules()
+    live, at, done, out = {}, {}, set(), []
+    for i, (a, _, p, _, o) in enumerate(events):
+        known, passed, moves, life = live.get(o), False, 0, None
+        if a in "TF":
+            done.add(o)
+            for other in at.get(p, ()):
+                if other in live and other not in done:
+                    live[other][3] = True
+        elif a == "A":
+            live[o] = [i, p, 0, False]
+            at.setdefault(p, set()).add(o)
+        elif a == "M" and known:
+            at[known[1]].discard(o)
+            live[o] = [known[0], p, known[2] + 1, known[3]]
+            at.setdefault(p, set()).add(o)
+            moves = known[2] + 1 if o not in done else 0
+        elif a == "C" and known:
+            at[known[1]].discard(o)
+            del live[o]
+            if o not in done:
+                life, moves, passed = i - known[0], known[2], known[3]
+        w = r.weights
+        out.append(((0.0 if life is None else w[3] * passed) + w[2] * (moves >= r.bait_modifies), float(passed)))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_deception_as_a_plain_replay(spark, seed):
+    # orders are added again at other prices while they live; sizes stay small and lives long, so only baits and passed-over orders score
+    rng = random.Random(seed)
+    events = [(rng.choice("AAMMCTF"), rng.choice("BA"), 100 + rng.randrange(5), 1 + rng.randrange(3), rng.randrange(25)) for _ in range(500)]
+    got = quality.deceptive_scores(stream(spark, events)).orderBy("sequence").collect()
+    assert [(pytest.approx(s), p) for s, p in plain_deception(events)] == [(r.deceptive_score, r.nonparticipate_flag) for r in got]
+
+
+def test_a_trade_does_not_visit_the_orders_at_its_price():
+    n = 30_000
+    rows = {"event_ts": list(range(0, 2 * n * 10**9, 10**9)), "sequence": list(range(2 * n)), "action": ["A"] * n + ["T"] * n, "side": ["B"] * 2 * n, "price": [P] * 2 * n, "size": [1] * 2 * n, "order_id": [*range(n), *[n] * n]}
+    began = time.process_time()
+    out = quality._Deception(quality.DeceptionRules()).feed(rows)
+    assert not any(out["deceptive_score"]) and time.process_time() - began < 10  # 900 million visits take over a minute
+
+
+def test_replay_converts_every_kind_of_column(spark):
+    class Echo(ordered.Machine):
+        def feed(self, rows):
+            return {c: v for c, v in rows.items() if c != "k"}
+
+    schema = "k bigint, event_ts bigint, sequence bigint, x double, s string, l array<bigint>, b boolean"
+    rows = [(1, 1, 1, 0.5, "a", [1], True), (1, 1, 2, None, None, None, None), (1, 2, 1, -1.0, "b", [], False), (2, 0, 9, 2.5, "", [2, 3], True)]
+    df = spark.createDataFrame(rows, schema)
+    assert rows_of(ordered.replay(df, ["k"], Echo, schema), "k", "event_ts", "sequence") == rows
