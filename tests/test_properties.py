@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -89,3 +90,22 @@ def test_scaler_centres_and_full_rank_pca_is_exact(spark):
     pca = models.fit_pca(df, list("abc"), 3)
     back = pca.reconstruct(pca.transform(df)).toPandas()
     assert np.allclose(back[["r_a", "r_b", "r_c"]].to_numpy(), back[["a", "b", "c"]].to_numpy())
+
+
+def test_adjusted_p_values_with_ties_keys_and_no_look_back_over_rows(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(k), str(g), float(p)) for k, (g, p) in enumerate(zip(rng.integers(0, 3, 90), rng.integers(0, 12, 90) / 11, strict=True))] + [(90, None, 0.25), (91, None, 0.5)]
+    df = spark.createDataFrame(rows, "k bigint, g string, p double")
+    for method in ("bonferroni", "holm", "bh"):
+        made = stats.adjust(df, "p", method, keys=["g"])
+        want = {}
+        for g in {r[1] for r in rows}:
+            own = sorted((p, k) for k, h, p in rows if h == g)
+            m, v = len(own), [p for p, _ in own]
+            scaled = {"bonferroni": [p * m for p in v], "holm": list(np.maximum.accumulate([p * (m - i) for i, p in enumerate(v)])), "bh": list(np.minimum.accumulate([p * m / (i + 1) for i, p in enumerate(v)][::-1])[::-1])}[method]
+            want |= {k: min(1.0, x) for (_, k), x in zip(own, scaled, strict=True)}
+        got = {r.k: r.adjusted for r in made.collect()}
+        assert got == {k: pytest.approx(x) for k, x in want.items()} and made.columns == ["k", "g", "p", "adjusted", "reject"]
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        # a frame to the end of a window is evaluated anew at each row
+        assert "currentrow$(), unboundedfollowing$()" not in plan and "row_number" not in plan
