@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,6 +235,86 @@ def test_a_trade_does_not_visit_the_orders_at_its_price():
     assert not any(out["deceptive_score"]) and time.process_time() - began < 10  # 900 million visits take over a minute
 
 
+def deception_rows(seed, n):
+    """Events with equal times, storms, short lives, orders added again while they live, and every side and action."""
+    rng = random.Random(seed)
+    step, orders, actions = rng.choice([10**6, 10**8, 10**9]), rng.choice([3, 25, 10**5]), rng.choice(["AAMMCTF", "ACCCC", "AAAMCTNR", "ACMMMM"])
+    t, out = 0, []
+    for i in range(n):
+        t += rng.choice([0, 0, 1, step, 3 * step])
+        action = rng.choice(actions)
+        out.append((t, i + 1, action, rng.choice("BBAAN"), P * (100 + rng.randrange(rng.choice([5, 40]))), rng.randrange(9), -1 if action in "TF" and seed % 2 else rng.randrange(orders)))
+    return out
+
+
+KINDS = dict(zip(quality.EVENT, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True))
+
+
+def columns_of(rows):
+    return dict(zip(quality.EVENT, map(list, zip(*rows, strict=True)), strict=True))
+
+
+@pytest.mark.parametrize("seed", range(24))
+def test_deception_on_batches_is_that_event_by_event(seed):
+    rng = random.Random(seed)
+    rows = deception_rows(seed, 900)
+    rules = quality.DeceptionRules(spoof_size=rng.choice([5, 2]), bait_modifies=rng.choice([3, 1]), storm_events=rng.choice([10, 3, 0]), storm_share=rng.choice([0.7, 0.3]), window_ns=rng.choice([500_000_000, 0]))
+    plain, machine = quality._Deception(rules).feed(columns_of(rows)), quality._Columns(rules)
+    got = {c: [] for c in plain}
+    while rows:
+        k = rng.choice([1, 7, 100, 400])
+        for c, v in machine.feed({c: pa.array(x, KINDS[c]) for c, x in columns_of(rows[:k]).items()}).items():
+            got[c] += v.tolist()
+        rows = rows[k:]
+    assert got == plain
+
+
+def test_deception_on_batches_forgets_orders_and_takes_nulls():
+    machine = quality._Columns(quality.DeceptionRules())
+    rows = [(2 * i + j, 2 * i + j + 1, a, "B", P, 1, i) for i in range(500) for j, a in enumerate("AC")]
+    machine.feed({c: pa.array(x, KINDS[c]) for c, x in columns_of(rows).items()})
+    assert not machine.slots and not machine.left and machine.sides[0].best() is None
+    more = [(9999, 9999, "T", None, None, None, None), (10**4, 10**4, None, "B", None, 1, 7)]
+    assert machine.feed({c: pa.array(x, KINDS[c]) for c, x in columns_of(more).items()})["deceptive_score"].tolist() == [0, 0]
+    with pytest.raises(ValueError, match="without a price"):
+        machine.feed({c: pa.array(x, KINDS[c]) for c, x in columns_of([(10**5, 10**5, "A", "B", None, 1, 8)]).items()})
+
+
+def test_deceptive_scores_run_on_batches(spark):
+    # 60,000 events cost the machine of single events 0.3 s of CPU time or more
+    rows = [(t, s, a, d, p, 1 + i % 3, i % 700) for i, (t, s, a, d, p, *_) in enumerate(deception_rows(0, 60_000))]
+    took = []
+    for kind, convert in ((quality._Deception, lambda c, x: x), (quality._Columns, lambda c, x: pa.array(x, KINDS[c]))):
+        fed = [{c: convert(c, x) for c, x in columns_of(rows).items()} for _ in range(2)]
+        kind(quality.DeceptionRules()).feed(fed[0])
+        began = time.process_time()
+        kind(quality.DeceptionRules()).feed(fed[1])
+        took.append(time.process_time() - began)
+    assert took[1] < took[0] / 2
+    assert quality.machine_for(quality.DeceptionRules()) is quality._Columns
+    assert quality.machine_for(quality.DeceptionRules(drop_score=0.4)) is quality._Deception
+
+
+def test_arrow_machines_check_order_and_get_long_runs(spark):
+    seen = []
+
+    class Sizes(ordered.Machine):
+        arrow = True
+
+        def feed(self, rows):
+            seen.append(len(rows["event_ts"]))
+            return {"event_ts": rows["event_ts"]}
+
+    assert ordered._arrow_ordered([pa.array([1, 1, 2]), pa.array([1, 2, 0])], (1, 1))
+    assert not ordered._arrow_ordered([pa.array([1, 1, 2]), pa.array([2, 1, 0])], None)
+    assert not ordered._arrow_ordered([pa.array([1, 2]), pa.array([1, 1])], (1, 2))
+    assert not ordered._arrow_ordered([pa.array([1, None]), pa.array([1, 1])], None)
+    many = [pa.record_batch({"k": pa.array([1] * 10)}) for _ in range(3)]
+    assert [b.num_rows for b in ordered._runs(iter(many))] == [30]
+    df = spark.range(70_000).selectExpr("id % 3 AS k", "id AS event_ts", "id AS sequence")
+    assert ordered.replay(df, ["k"], Sizes, "k bigint, event_ts bigint").groupBy("k").count().count() == 3
+
+
 def test_replay_converts_every_kind_of_column(spark):
     class Echo(ordered.Machine):
         def feed(self, rows):
