@@ -315,6 +315,20 @@ def test_arrow_machines_check_order_and_get_long_runs(spark):
     assert ordered.replay(df, ["k"], Sizes, "k bigint, event_ts bigint").groupBy("k").count().count() == 3
 
 
+def test_blended_bars_score_events_once(spark):
+    from marketloom.plans import behavior_queries
+
+    plan = behavior_queries.blended(mbo.events_as_mbo(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("MapInArrow" in line and "deceptive_score" in line for line in plan.splitlines()) == 1
+
+
+def test_evidence_is_both_frames(spark):
+    scored = quality.deceptive_scores(mbo.events_as_mbo(spark, SF))
+    at = ["instrument_id", "bucket_start"]
+    both = quality.deceptive_buckets(scored, tape.HOUR).select(*at, "deceptive_score", "real_liquidity_ratio").join(behavior.reliability(scored, tape.HOUR).drop("availability_ts"), at)
+    assert rows_of(behavior.evidence(scored, tape.HOUR), *at) == rows_of(both, *at)
+
+
 def test_replay_converts_every_kind_of_column(spark):
     class Echo(ordered.Machine):
         def feed(self, rows):
