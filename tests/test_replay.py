@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from marketloom.operators import auction, behavior, book, ordered, quality, tape, ticks
+from marketloom.operators import auction, behavior, book, edges, ordered, quality, tape, ticks
 from marketloom.sources import mbo
 
 from .conftest import SF
@@ -329,6 +329,28 @@ def test_evidence_is_both_frames(spark):
     assert rows_of(behavior.evidence(scored, tape.HOUR), *at) == rows_of(both, *at)
 
 
+def test_edge_search_judges_all_holds_on_one_set_of_bars(spark):
+    m = mbo.events_as_mbo(spark, SF)
+    states = auction.action_states(m, 4 * tape.HOUR, tape.HOUR)
+    deceptive = quality.deceptive_buckets(quality.deceptive_scores(m), tape.HOUR)
+    table, _ = edges.search_edges(states, deceptive, m, edges.edge_grid())
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    # trades are joined with the chosen ones among them, so what they come from stands twice; no hold adds to that
+    assert sum("MapInArrow" in line and "deceptive_score" in line for line in plan.splitlines()) == 2
+    columns = ["instrument_id", "bucket_end", "thesis_dir", "close", "decision_val", "decision_vah", "entry_gate"]
+    got = auction.entry_gates(states, deceptive, [2, 3, 5])
+    for hold in (2, 3, 5):
+        own = auction.market_truth(states, deceptive, auction.TruthRules(hold=hold)).select(*columns)
+        assert rows_of(got.where(F.col("hold_name") == f"h{hold}_").select(*columns), *columns) == rows_of(own, *columns)
+
+
+def test_edge_search_without_bars(spark):
+    m = mbo.events_as_mbo(spark, SF).where("false")
+    deceptive = quality.deceptive_buckets(quality.deceptive_scores(m), tape.HOUR)
+    table, outer = edges.search_edges(auction.action_states(m, 4 * tape.HOUR, tape.HOUR), deceptive, m, edges.edge_grid())
+    assert table.count() == 0 and outer.count() == 0
+
+
 def test_replay_converts_every_kind_of_column(spark):
     class Echo(ordered.Machine):
         def feed(self, rows):
