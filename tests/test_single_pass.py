@@ -91,3 +91,12 @@ def test_buckets_go_on_over_batches(size):
     parts = [machine.feed({c: v.slice(i, size) for c, v in columns.items()}) for i in range(0, len(rows), size)] + [machine.finish()]
     got = [r for p in parts for r in zip(*(p[c] for c in ("bucket_start", "_n", "_score", "_bad", "_all", "_cancels")), strict=True)]
     assert got == [(k, *v) for k, v in sorted(want.items())] and len(got) > 5
+
+
+def test_edge_trades_compute_their_gates_once(spark):
+    m = mbo.events_as_mbo(spark, SF)
+    trades = auction.edge_trades(book_queries._truth(m), m)
+    assert sum("MapInArrow" in line and "spoof_flag" in line for line in plan_of(trades)) == 1 and scans(trades) == 4
+    r = auction.TradeRules()
+    joined = auction.trades_of(book_queries._truth(m), m, [("", r.reward_to_risk, r.stop_buffer)], r.max_hold_ns, r.cost).drop("name")
+    assert trades.dtypes == joined.dtypes and rows_of(trades, "instrument_id", "entry_ts") == rows_of(joined, "instrument_id", "entry_ts")
