@@ -100,3 +100,30 @@ def test_edge_trades_compute_their_gates_once(spark):
     r = auction.TradeRules()
     joined = auction.trades_of(book_queries._truth(m), m, [("", r.reward_to_risk, r.stop_buffer)], r.max_hold_ns, r.cost).drop("name")
     assert trades.dtypes == joined.dtypes and rows_of(trades, "instrument_id", "entry_ts") == rows_of(joined, "instrument_id", "entry_ts")
+
+
+def test_realized_paths_score_no_deception(spark):
+    m = mbo.events_as_mbo(spark, SF)
+    got = behavior.realized_paths(behavior_queries.paths(m), behavior_queries.STORY)
+    assert not any("deceptive_score" in line for line in plan_of(got)) and scans(got) == 3 and machines(got) == 4  # profile bars, signal bars, projection; ranges and signals run on bars
+    registered = plan_of(behavior_queries.QUERIES["realized_paths"](spark, SF))
+    assert not any("deceptive_score" in line for line in registered)
+    at = (*behavior_queries.STORY, "setup_availability_ts")
+    assert rows_of(got, *at) == rows_of(behavior.realized_paths(behavior_queries.blended(m), behavior_queries.STORY), *at)
+
+
+def test_level_flow_as_plain_sums(spark):
+    rng = random.Random(8)
+    rows = [(rng.randrange(3 * tape.HOUR), i, rng.choice("ACMTFN"), rng.choice("BA"), (100 + rng.randrange(-12, 12)) * P, rng.randrange(9), i, 1) for i in range(400)]
+    states = spark.createDataFrame([(1, b * tape.HOUR, (100 + b) * P, (96 - b) * P, 98 * P, "kept") for b in range(4)], "instrument_id bigint, bucket_start bigint, decision_vah bigint, decision_val bigint, decision_poc bigint, note string")
+    m = spark.createDataFrame(rows, SCHEMA)
+    got = {r.bucket_start // tape.HOUR: r for r in behavior.with_level_flow(states, m, tape.HOUR).collect()}
+    for b in range(3):
+        total = lambda a, level=None: sum(z for ts, _, x, _, p, z, *_ in rows if ts // tape.HOUR == b and x in a and (level is None or abs(p - level) <= 4 * P))  # noqa: B023, E731
+        vah, val = (100 + b) * P, (96 - b) * P
+        assert got[b].lf_near_vah_add_intensity == total("A", vah) / total("A") and got[b].lf_near_val_trade_intensity == total("TF", val) / total("TF")
+        assert got[b].lf_near_val_cancel_ratio == total("C", val) / (total("A", val) + 1) and got[b].lf_liquidity_withdrawal == total("C") / (total("A") + total("C") + 1)
+        assert got[b].lf_events == sum(ts // tape.HOUR == b and a != "N" for ts, _, a, *_ in rows) and got[b].note == "kept"
+    assert got[3].lf_events is None and got[3].lf_liquidity_withdrawal is None  # no event
+    alone = behavior.level_flow(m, states, tape.HOUR)
+    assert alone.columns[:2] == list(AT) and "note" not in alone.columns and alone.count() == 3
