@@ -127,3 +127,26 @@ def test_level_flow_as_plain_sums(spark):
     assert got[3].lf_events is None and got[3].lf_liquidity_withdrawal is None  # no event
     alone = behavior.level_flow(m, states, tape.HOUR)
     assert alone.columns[:2] == list(AT) and "note" not in alone.columns and alone.count() == 3
+
+
+def test_path_binaries_and_confirmation_score_no_deception(spark):
+    m = mbo.events_as_mbo(spark, SF)
+    for name, passes in (("path_binaries", 3), ("path_confirmation", 4)):  # the second needs flow near levels
+        plan = plan_of(behavior_queries.QUERIES[name](spark, SF))
+        assert not any("deceptive_score" in line for line in plan) and sum("Relation [" in line for line in plan) == passes
+    story = behavior_queries.STORY
+    at = (*story, "setup_availability_ts", "outcome_name")
+    want = behavior.path_binaries(behavior.realized_paths(behavior_queries.blended(m), story), story)
+    assert rows_of(behavior.path_binaries(behavior.realized_paths(behavior_queries.paths(m), story), story), *at) == rows_of(want, *at)
+
+
+def test_a_projection_bucket_over_two_sessions(spark):
+    open_ns = 1_704_268_800_000_000_000  # 3 January 2024, 03:00 in New York: London opens
+    rows = [(open_ns + t * 60_000_000_000, i, "T", "B", p * P, z, i, 1) for i, (t, p, z) in enumerate([(-90, 100, 5), (-50, 101, 3), (-10, 100, 2), (10, 100, 4), (20, 103, 1), (50, 102, 9)])]
+    rules = behavior.ProjectionRules(interval_ns=tape.HOUR)
+    projected = behavior.overnight_projection(spark.createDataFrame(rows, SCHEMA), rules)
+    assert scans(behavior.overnight_projection(mbo.events_as_mbo(spark, SF), rules)) == 1
+    wide = behavior.overnight_projection(spark.createDataFrame(rows, SCHEMA), behavior.ProjectionRules(interval_ns=3 * tape.HOUR))
+    assert [(r.stage, r.close // P, r.composite_total_volume) for r in projected.orderBy("bucket_start").collect()] == [("asia_build", 100, 5), ("asia_build", 100, 10), ("london_extend", 102, 24)]
+    # three hours from 01:00 on hold both sessions and count as Asia, with all of their volume
+    assert [(r.stage, r.close // P, r.composite_total_volume) for r in wide.orderBy("bucket_start").collect()] == [("asia_build", 102, 24)]
