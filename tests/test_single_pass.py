@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+from datetime import UTC, datetime, timedelta
+from zoneinfo import ZoneInfo
 
 import pyarrow as pa
 import pytest
@@ -150,3 +152,39 @@ def test_a_projection_bucket_over_two_sessions(spark):
     assert [(r.stage, r.close // P, r.composite_total_volume) for r in projected.orderBy("bucket_start").collect()] == [("asia_build", 100, 5), ("asia_build", 100, 10), ("london_extend", 102, 24)]
     # three hours from 01:00 on hold both sessions and count as Asia, with all of their volume
     assert [(r.stage, r.close // P, r.composite_total_volume) for r in wide.orderBy("bucket_start").collect()] == [("asia_build", 102, 24)]
+
+
+def test_movements_carry_no_flow(spark):
+    for name in ("realized_paths", "path_binaries"):
+        analysed = behavior_queries.QUERIES[name](spark, SF)._jdf.queryExecution().analyzed().toString()
+        assert "path_beyond_asia_ticks" in analysed and "lf_" not in analysed and "path_depth_confirm" not in analysed
+
+
+def test_projection_knows_sessions_of_slots_and_not_of_events(spark):
+    plan = plan_of(behavior.overnight_projection(mbo.events_as_mbo(spark, SF)))
+    deepest = max(i for i, line in enumerate(plan) if "Aggregate [" in line)
+    assert not any("from_utc_timestamp" in line for line in plan[deepest:]) and any("from_utc_timestamp" in line for line in plan[:deepest])
+
+
+@pytest.mark.parametrize("minutes", [7, 45, 60, 180])
+def test_projection_buckets_as_sessions_of_events(spark, minutes):
+    rng, ns, new_york = random.Random(minutes), minutes * 60_000_000_000, ZoneInfo("America/New_York")
+    begin = 1_709_953_200_000_000_000  # 8 March 2024, 22:00 in New York; clocks change on the 10th
+    rows = [(begin + rng.randrange(60 * tape.HOUR), i, "T", "B", (100 + rng.randrange(12)) * P, rng.randrange(1, 9), i, 1) for i in range(500)]
+    rows += [(begin + h * tape.HOUR + d, 1000 + 3 * h + d, "T", "A", (105 + d) * P, 2, 0, 1) for h in range(0, 60, 2) for d in (-1, 0, 1)]
+    bars, want = {}, []
+    for ts, i, *_, p, z, _, _ in sorted(rows):
+        local = (datetime(1970, 1, 1, tzinfo=UTC) + timedelta(microseconds=ts // 1000)).astimezone(new_york)
+        m = local.hour * 60 + local.minute
+        session = 0 if m >= 1080 or m < 180 else 1 if m < 570 else 2
+        if session < 2:
+            bars.setdefault((str((local + timedelta(hours=6)).date() if local.hour >= 18 else local.date()), ts - ts % ns), []).append((session, p, z))
+    total, seen = {}, set()
+    for (story, start), own in sorted(bars.items()):
+        total[story] = total.get(story, 0) + sum(z for *_, z in own)
+        if own[0][0] == 0:
+            seen.add(story)
+        if story in seen:
+            want.append((story, start, "london_extend" if own[0][0] else "asia_build", own[-1][1], total[story]))
+    got = behavior.overnight_projection(spark.createDataFrame(rows, SCHEMA).repartition(3), behavior.ProjectionRules(interval_ns=ns))
+    assert sorted((r.story_date, r.bucket_start, r.stage, r.close, r.composite_total_volume) for r in got.collect()) == want
