@@ -188,3 +188,33 @@ def test_projection_buckets_as_sessions_of_events(spark, minutes):
             want.append((story, start, "london_extend" if own[0][0] else "asia_build", own[-1][1], total[story]))
     got = behavior.overnight_projection(spark.createDataFrame(rows, SCHEMA).repartition(3), behavior.ProjectionRules(interval_ns=ns))
     assert sorted((r.story_date, r.bucket_start, r.stage, r.close, r.composite_total_volume) for r in got.collect()) == want
+
+
+def test_bars_and_projection_of_movements_share_one_pass(spark):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # reused exchanges then stand in the plan before it runs
+    try:
+        for name in ("realized_paths", "path_binaries"):
+            plan = behavior_queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("FileScan parquet") == 1 and plan.count("ReusedExchange") >= 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_bars_of_slots_as_plain_bars(spark):
+    rng = random.Random(11)
+    rows = [(rng.randrange(30 * tape.HOUR), i, rng.choice("TTA"), rng.choice("BAN"), (100 + rng.randrange(9)) * P, rng.randrange(9), i, 1 + i % 2) for i in range(900)]
+    m = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for interval in (tape.HOUR // 6, 7 * tape.HOUR // 4, 3 * tape.HOUR):  # 10 and 105 minutes hold no whole half hours
+        want = {}
+        for ts, _, a, side, p, z, _, k in sorted(rows):
+            if a == "T":
+                want.setdefault((k, ts - ts % interval), []).append((side, p, z))
+        got = auction._bar_stats(auction._cells(m, interval)).collect()
+        assert len(got) == len(want)
+        for r in got:
+            own = want[r.instrument_id, r.bucket_start]
+            levels = {p: sum(z for _, q, z in own if q == p) for _, p, _ in own}
+            assert {p: sum(v for q, v in zip(r.prices, r.volumes, strict=True) if q == p) for p in r.prices} == levels
+            assert (r.high, r.low, r.close, r.bucket_volume) == (max(levels), min(levels), own[-1][1], sum(levels.values()))
+            assert (r.buy_volume, r.sell_volume) == tuple(sum(z for s, _, z in own if s == side) for side in "BA")
