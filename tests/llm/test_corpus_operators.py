@@ -247,6 +247,37 @@ def test_model_learns_from_all_training_texts(spark, monkeypatch):
     assert score(docs.repartition(7)) == pytest.approx(got, rel=1e-6)
 
 
+def test_every_shard_has_its_own_task(spark, monkeypatch):
+    import json
+
+    monkeypatch.setattr(lm, "SHARD_CHARS", 2_000)
+    tasks, plain = [], lm.map_groups
+
+    def counted(df, keys, *rest, **options):
+        if keys == ["shard"]:
+            own = plain(df, keys, lambda: _seat, "shard bigint, task int", partitions=options["partitions"], place=options.get("place"))
+            tasks.append([tuple(r) for r in own.distinct().collect()])
+        return plain(df, keys, *rest, **options)
+
+    monkeypatch.setattr(lm, "map_groups", counted)
+    docs = spark.createDataFrame([(i, json.dumps([i] * 30)) for i in range(400)], "doc_id long, text string")
+    lm.fit(docs, [], "doc_id", "text", 0, 1, 60, 13)
+    assert len(tasks) == lm.ROUNDS and all(len(t) > 2 and len({task for _, task in t}) == len({shard for shard, _ in t}) == len(t) for t in tasks)
+
+
+def _seat(key, rows):
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    yield pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([TaskContext.get().partitionId()], pa.int32())], names=["shard", "task"])
+
+
+def test_scoring_by_tables_is_the_layers_output():
+    model, rng = attention.Attention(seed=3), np.random.default_rng(4)
+    inputs = rng.integers(0, attention.IDS + 1, (9, attention.SPAN))
+    assert np.allclose(model._scored(inputs, model.tables()), model._hidden(inputs)[-1], atol=1e-4)
+
+
 def test_attention_is_causal_and_normalised():
     tokens = bpe.read_ranks(pytest.importorskip("public_tokenizers").path("byte_bpe_multi_50k.tiktoken"))
     model = attention.Attention(seed=2)
